@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumora.llm import quality_rules
+from lumora.llm import bpe, quality_rules, token_files
 
-_MODULES = (quality_rules,)
+_MODULES = (quality_rules, bpe, token_files)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
