@@ -205,7 +205,7 @@ def tokenizer(path: str) -> WordBpe:
     return _LOADED[path]
 
 
-def _pieces(texts: Iterable, chars: int = 2_000_000) -> Iterator[list[int]]:
+def pieces(texts: Iterable, chars: int = 2_000_000) -> Iterator[list[int]]:
     """Row numbers in runs of about `chars` characters, so that a run's words stay small in memory."""
     run, n = [], 0
     for k, text in enumerate(texts):
@@ -237,7 +237,7 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFra
         bpe = tokenizer(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for rows in _pieces(texts):
+            for rows in pieces(texts):
                 ids = bpe.encode([texts[k] for k in rows])
                 back = [bpe.decode(x) for x in ids]
                 cols = [

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumora.llm import bpe, quality_rules, token_files
+from lumora.llm import bpe, lm_scoring, quality_rules, token_files
 
-_MODULES = (quality_rules, bpe, token_files)
+_MODULES = (quality_rules, bpe, token_files, lm_scoring)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}

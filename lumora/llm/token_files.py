@@ -12,6 +12,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumora.llm.bpe import PLAIN, SPACE, vocabulary
+from lumora.llm.bpe import PLAIN, SPACE, pieces, vocabulary
 from lumora.llm.common import blocks_for, documents, id_and_text, shared_dir, written
 
 #: The pattern by which byte-level vocabularies split a text before their merges, with White_Space written out.
 TOKENS = rf"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"""
 SEQUENCE, ROWS, END_ID = 1024, 64, 2
-BLOCK_BYTES, CACHE_TOKENS, AT_ONCE = 16 << 20, 400_000, 20_000
+BLOCK_BYTES, CACHE_TOKENS, AT_ONCE = 16 << 20, 700_000, 20_000
 
 _LOADED: dict[str, "ByteBpe"] = {}
 
@@ -46,26 +47,51 @@ class ByteBpe:
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.size = self.library.get_vocab_size()
         self.split = regex.compile(TOKENS).findall
+        self.wide = re.compile(f"[{SPACE}][{SPACE}]").search
         self.ids: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for k in range(0, len(texts), AT_ONCE) for e in self.library.encode_batch(texts[k : k + AT_ONCE], add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers. Texts with special tokens or characters beyond the plain
-        ones go through the library whole."""
-        if not PLAIN.match(text) or any(s in text for s in self.specials):
-            return self._raw([text])[0]
-        tokens = self.split(text)
-        try:
-            return b"".join(map(self.ids.__getitem__, tokens))
-        except KeyError:
-            if len(self.ids) > CACHE_TOKENS:
-                self.ids.clear()
-            new = list(set(tokens).difference(self.ids))
-            self.ids.update(zip(new, self._raw(new)))
+        return [array("I", e.ids).tobytes() for k in range(0, len(texts), AT_ONCE) for e in self.library.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)]
+
+    def _tokens(self, tokens: list[str]) -> bytes:
         return b"".join(map(self.ids.__getitem__, tokens))
 
+    def _learn(self, split: list[list[str]]) -> None:
+        if len(self.ids) > CACHE_TOKENS:
+            self.ids.clear()
+        new = list(set().union(*split).difference(self.ids))
+        self.ids.update(zip(new, self._raw(new)))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers.
+
+        A token with a space before it starts at that space, so a text without adjacent white space is cut at its spaces
+        into runs that are looked up whole. Texts with special tokens or characters beyond the plain ones go through the
+        library whole, the others through the cache of pre-tokens.
+        """
+        out: list[bytes | None] = [None] * len(texts)
+        runs, tokens = {}, {}
+        for k, text in enumerate(texts):
+            if not PLAIN.match(text) or any(s in text for s in self.specials):
+                out[k] = self._raw([text])[0]
+            elif self.wide(text):
+                tokens[k] = self.split(text)
+            else:
+                runs[k] = text.split(" ")
+        if len(self.runs) > CACHE_TOKENS:
+            self.runs.clear()
+        new = list(set().union(*(r[1:] for r in runs.values())).difference(self.runs))
+        split = [self.split(" " + r) for r in new]
+        heads = {k: self.split(r[0]) for k, r in runs.items()}
+        self._learn([*split, *heads.values(), *tokens.values()])
+        self.runs.update(zip(new, map(self._tokens, split)))
+        for k, x in tokens.items():
+            out[k] = self._tokens(x)
+        for k, r in runs.items():
+            out[k] = self._tokens(heads[k]) + b"".join(map(self.runs.__getitem__, r[1:]))
+        return out
+
 
 def tokenizer(path: str) -> ByteBpe:
     if path not in _LOADED:
@@ -176,10 +202,12 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID, sequence
         name = f"{base}/block-{block:07d}-{uuid.uuid4().hex}.arrow"
         tail = np.array([end_id], "<u4")
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for rows in pieces(texts):
                 out = out or BlockWriter(store, name, dtype, sequence)
-                out.add(doc, np.concatenate([np.frombuffer(bpe.encode(text.as_py()), "<u4"), tail]))
-                n += 1
+                for k, x in zip(rows, bpe.encode([texts[k] for k in rows])):
+                    out.add(ids[k], np.concatenate([np.frombuffer(x, "<u4"), tail]))
+                n += len(rows)
         if out:
             total = out.close()
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (block, name, total, n)], ["block", "path", "n_tokens", "n_docs"])
