@@ -83,7 +83,7 @@ class Gru:
             d *= (live[t] / total)[:, None]
             seen.append((h, new, gates, d))
             h = new
-        dh = np.zeros_like(h)
+        dh, das = np.zeros_like(h), np.empty((T, len(h), 3 * HIDDEN), np.float32)
         for t in range(T - 1, -1, -1):
             old, new, (z, r, n, gn), d = seen[t]
             g["V"] += new.T @ d
@@ -94,8 +94,11 @@ class Gru:
             dg = da.copy()
             dg[:, 2 * HIDDEN :] *= r
             g["U"] += old.T @ dg
-            np.add.at(g["X"], prev[t], da)
+            das[t] = da
             dh = dh * z + dg @ self.p["U"].T
+        order = np.argsort(prev, axis=None, kind="stable")
+        classes, starts = np.unique(prev.ravel()[order], return_index=True)
+        g["X"][classes] = np.add.reduceat(das.reshape(-1, 3 * HIDDEN)[order], starts)
         flat = np.concatenate([g[k].ravel() for k in self.SHAPES])
         flat *= min(1.0, 1.0 / (float(np.sqrt((flat**2).sum())) + 1e-9))
         self.t += 1
