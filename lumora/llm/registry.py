@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumora.llm import bpe, lm_scoring, quality_rules, sharding, token_files
+from lumora.llm import bpe, lm_scoring, quality_classifier, quality_rules, sharding, token_files
 
-_MODULES = (quality_rules, sharding, bpe, token_files, lm_scoring)
+_MODULES = (quality_rules, quality_classifier, sharding, bpe, token_files, lm_scoring)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
