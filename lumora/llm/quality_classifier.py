@@ -7,6 +7,7 @@ the driver, at most 3 ** labellers of them. The posteriors of a bounded sample t
 from __future__ import annotations
 
 from collections import Counter
+from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -25,12 +26,14 @@ DIMENSIONS, EPOCHS, RATE, KEEP = 1 << 15, 12, 0.3, 0.5
 #: name, metric, good when in, bad when in; ranges are closed, null is open.
 LABELLERS = (
     ("symbols", "n_symbols / nullif(n_words, 0)", (None, 0.02), (0.25, None)),
-    ("stop_words", "n_stop / nullif(n_words, 0)", (0.12, None), (None, 0.03)),
+    ("stop_words", "if(n_words >= 20, n_stop / n_words, null)", (0.12, None), (None, 0.03)),
     ("repeats", "n_repeat_words / nullif(n_words, 0)", (None, 0.1), (0.5, None)),
+    ("distinct", "if(n_words >= 20, n_distinct / n_words, null)", (0.25, None), (None, 0.12)),
+    ("stutter", "n_adjacent / nullif(n_words, 0)", (None, 0.05), (0.25, None)),
     ("exclamations", "n_bangs / nullif(n_words, 0)", (None, 0.05), (0.4, None)),
+    ("bars", "n_bars / nullif(n_words, 0)", (None, 0.05), (0.3, None)),
     ("lines", "n_dup_lines / nullif(n_lines, 0)", (None, 0.2), (0.6, None)),
     ("word_length", "word_chars / nullif(n_words, 0)", (3.0, 9.0), (None, 1.5)),
-    ("size", "n_words", (50, None), (None, 2)),
 )
 
 _SHAPE = [(regex.compile(r"\p{Lu}+"), "A"), (regex.compile(r"[\p{L}\p{M}--A]+", regex.V1), "a"), (regex.compile(r"\p{N}+"), "0"), (regex.compile(r"(.)\1+"), r"\1")]
@@ -56,7 +59,8 @@ def accuracies(patterns: dict[str, int], rounds: int = 50) -> tuple[float, np.nd
     for _ in range(rounds):
         prior = (n @ good + 1) / (n.sum() + 2)
         p = np.array([[[((table[:, k] == v) * n * w).sum() + 0.1 for v in range(3)] for k in range(len(LABELLERS))] for w in (1 - good, good)])
-        p /= p.sum(2, keepdims=True)
+        p /= p[:, :, :2].sum(2, keepdims=True)
+        p[:, :, 2] = 1  # a labeller that does not vote says nothing
         good = posterior(table, prior, p)
     return prior, p
 
@@ -82,13 +86,16 @@ def _shape(word: str) -> int:
 
 def features(text: str) -> dict[int, float]:
     """Hashed features of a whole text: shares of words, of word shapes, and how often the commonest words repeat."""
-    counts = Counter(text.split())
-    total = sum(counts.values())
+    words = text.split()
+    counts, total = Counter(words), len(words)
     out: dict[int, float] = {}
     for w, n in counts.items():
         for at, weight in ((crc32(w.encode()) % DIMENSIONS, 1.0), (_shape(w), 3.0)):
             out[at] = out.get(at, 0.0) + weight * n / total
-    for name, x in (("distinct", len(counts) / total if total else 0), ("top", max(counts.values()) / total if total else 0), ("bare", 0 if total else 1)):
+    # Shares of repetition: none of them is high in a short text only for being short.
+    again = sum(map(eq, words, words[1:]))
+    shares = ("adjacent", again), ("top", max(counts.values(), default=1) - 1), ("old", total - len(counts))
+    for name, x in [(n, min(k, total) / max(total, 20)) for n, k in shares] + [("bare", float(not total))]:
         at = crc32(f"f{name}{int(x * 10)}".encode()) % DIMENSIONS
         out[at] = out.get(at, 0.0) + 1.0
     return out

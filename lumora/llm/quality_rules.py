@@ -93,6 +93,9 @@ def measure(docs: DataFrame) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.filter("words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop"),
         F.length(F.regexp_replace("text", r"[^!]+", "")).cast("long").alias("n_bangs"),
+        F.size(F.filter("words", lambda w: w == "|")).cast("long").alias("n_bars"),
+        F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
+        F.expr("transform(array(words), a -> size(filter(a, (w, i) -> i > 0 and w = a[i - 1])))[0]").cast("long").alias("n_adjacent"),
     )
 
 
