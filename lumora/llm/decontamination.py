@@ -130,7 +130,10 @@ class Block:
         for k, starts in sorted(places.items()):
             item, s, edits = self.items[k]
             best, done = None, -1
-            for start in sorted(set(starts)):
+            starts = sorted(set(starts))
+            if (same := [a for a in starts if np.array_equal(x[a : a + len(s)], s)]):
+                starts, best = [], (item, same[0], len(s), 0)
+            for start in starts:
                 if start < done:
                     continue
                 low = max(0, start - edits)
