@@ -8,7 +8,7 @@ distance must hold; this bound is exact and loses nothing. What shares a key is
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import repeat
 from math import ceil, log
 
@@ -138,7 +138,11 @@ class Block:
                     continue
                 low = max(0, start - edits)
                 done = start + len(s)
-                got = align(s, x[low : done + len(s) + edits])
+                part = x[low : done + len(s) + edits]
+                # Each edit costs the item one of its words at most.
+                if sum((Counter(s.tolist()) & Counter(part.tolist())).values()) < len(s) - edits:
+                    continue
+                got = align(s, part)
                 if got[0] <= edits and (best is None or got[0] < best[3]):
                     best = item, low + got[1], got[2] - got[1], got[0]
             if best:
