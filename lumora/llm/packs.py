@@ -118,7 +118,7 @@ def packed(docs: DataFrame, more: str | None = None) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary"), (F.col(more) if more else F.lit("")).cast("binary"))
 
     def run(batches):
-        n = TaskContext.get().partitionId() << 33
+        n = TaskContext.get().partitionId() << 17
         ids, texts, extra, size = [], [], [], 0
 
         def out():
