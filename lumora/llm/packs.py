@@ -171,3 +171,38 @@ def with_answers(packs: DataFrame, answers: DataFrame, run: Callable[[int, Pack,
         return pa.concat_tables([run(p, Pack.open(b), blobs) for p, b in zip(left.column("pack").to_pylist(), left.column("blob").to_pylist())])
 
     return packs.select("pack", "blob").groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(both, schema)
+
+
+REST = "_rest"
+
+
+def with_rest(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns of `docs` as one JSON string, for the `more` of `packed`."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.to_json(F.struct(*others), {"ignoreNullFields": "false"}) if others else F.lit("{}")
+    return docs.select("doc_id", "text", rest.alias(REST))
+
+
+def from_rest(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """Undoes `with_rest`: doc_id, text and `more` of `rows` in the columns of `like`."""
+    others = [f for f in like.schema.fields if f.name not in ("doc_id", "text")]
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
+    parsed = rows.withColumn("_o", F.from_json("more", kind)) if others else rows
+    return parsed.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_o.`{c}`").alias(c) for c in like.columns])
+
+
+def rows_of(packs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """doc_id, text and more of the documents of `nodes` (pack << 23 | place)."""
+    wanted = nodes.groupBy(F.shiftright("node", 23).alias("pack")).agg(F.collect_list(F.col("node").bitwiseAND((1 << 23) - 1)).alias("at"))
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        at = sorted(k for part in right.column("at").to_pylist() for k in part)
+        ids, texts, more = [], [], []
+        for blob in left.column("blob").to_pylist() if at else ():
+            pack = Pack.open(blob)
+            ids += [None if pack.ids[k] == NO_ID else int(pack.ids[k]) for k in at]
+            texts += [pack.text(k).decode() for k in at]
+            more += [pack.more[k].decode() for k in at]
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "more": pa.array(more, pa.string())})
+
+    return packs.select("pack", "blob").groupBy("pack").cogroup(wanted.groupBy("pack")).applyInArrow(both, "doc_id long, text string, more string")

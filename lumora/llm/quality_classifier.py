@@ -167,6 +167,24 @@ def classify(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataF
     return rows.mapInArrow(score, f"doc_id {kind}, text string, score double, kept boolean")
 
 
+def without_rejected(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
+    """The rows of `docs`, all columns, that `classify` keeps."""
+    w, b = fit(docs, sample)
+    shared = docs.sparkSession.sparkContext.broadcast((w, b))
+
+    def run(batches, at=docs.columns.index("text")):
+        w, b = shared.value
+        for batch in batches:
+            good = []
+            for t in batch.column(at):
+                f = features(t.as_py() or "")
+                z = np.clip(float(w[list(f)] @ np.fromiter(f.values(), float)) + b, -30, 30)
+                good.append(bool(1 / (1 + np.exp(-z)) >= keep))
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents(spark, sf_dir)).select("doc_id", "score", "kept")
 
