@@ -23,7 +23,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 #: Texts of these characters only need no Unicode normalisation and have a stable letter classification.
 PLAIN = regex.compile(r"[\x00-\x1B\x20-ɏ‐-‧]*+\Z")
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
-CHUNK, CACHE_WORDS, CACHE_JOINS, NEVER = 20_000, 400_000, 2_000_000, float("inf")
+CHUNK, CACHE_WORDS, CACHE_JOINS, NEVER = 10_000, 250_000, 300_000, float("inf")
 END = "</w>"
 SHORT = [2, 1]
 

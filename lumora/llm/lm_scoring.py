@@ -24,7 +24,7 @@ END = b""
 FREQUENT, SINGLE, ENDINGS = 1 << 17, 64, 64
 CLASSES = SINGLE + ENDINGS
 HIDDEN, WINDOW, TRAIN_ROWS, PASSES, RATE = 16, 16, 512, 2, 0.01
-DISTINCT_AT_ONCE = 200_000
+DISTINCT_AT_ONCE, AT_ONCE = 100_000, 4_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -219,7 +219,7 @@ def score_documents(docs: DataFrame, passes: int = PASSES) -> DataFrame:
             model, seen = Gru(params), 0
             for batch in batches:
                 texts = batch.column(1).to_pylist()
-                for some in pieces(texts, 8_000_000):
+                for some in pieces(texts, AT_ONCE):
                     seen += model.train([class_of[ids] for ids, _ in _indexed([texts[k] for k in some], index)])
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([model.flat.astype(float).tolist()]), pa.array([float(seen)])], ["p", "w"])
@@ -236,7 +236,7 @@ def score_documents(docs: DataFrame, passes: int = PASSES) -> DataFrame:
         model, n = Gru(params), TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for some in pieces(texts, 8_000_000):
+            for some in pieces(texts, AT_ONCE):
                 found = _indexed([texts[k] for k in some], index)
                 classes = [class_of[ids] for ids, _ in found]
                 fit = model.log10(classes)

@@ -142,10 +142,11 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, more: str | N
                 sets = gram_sets(pack.data, pack.starts, n)
                 every, times = np.unique(np.concatenate(sets), return_counts=True)
                 common = times > 1
-                grams = [{"gram": g, "c": c} for g, c in zip(every[common].astype(np.int64).tolist(), times[common].tolist())]
-                rows = [{"node": node_of(p, k), "doc_id": d, "n": len(s), "sig": signature(s)} for k, (d, s) in enumerate(zip(pack.ids.tolist(), sets))]
-                kinds = pa.list_(pa.struct([(x, pa.int64()) for x in ("node", "doc_id", "n", "sig")])), pa.list_(pa.struct([(x, pa.int64()) for x in ("gram", "c")]))
-                yield pa.RecordBatch.from_arrays([pa.array([rows], kinds[0]), pa.array([grams], kinds[1])], ["docs", "grams"])
+                about = np.array([len(s) for s in sets]), np.array([signature(s) for s in sets], np.int64)
+                rows = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (node_of(p, np.arange(len(sets))), pack.ids, *about)], ["node", "doc_id", "n", "sig"])
+                grams = pa.StructArray.from_arrays([pa.array(every[common].astype(np.int64)), pa.array(times[common], pa.int64())], ["gram", "c"])
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (rows, grams)]
+                yield pa.RecordBatch.from_arrays(lists, ["docs", "grams"])
 
     told = written(packs.select("pack", "blob").mapInArrow(describe, "docs array<struct<node: long, doc_id: long, n: long, sig: long>>, grams array<struct<gram: long, c: long>>"), "told")
     rows = told.select(F.inline("docs"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lumora.llm.common import written
 
-PACK_BYTES, BUCKET_BYTES = 4 << 20, 32 << 20
+PACK_BYTES, BUCKET_BYTES = 3 << 19, 32 << 20
 #: Stands for a null doc_id, which is thereby greater than all others.
 NO_ID = (1 << 63) - 1
 MIX1, MIX2, BASE1, BASE2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0x5851F42D4C957F2D, 0xDA942042E4DD58B5))
@@ -34,17 +34,17 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of an odd base modulo 2 ** 64, and their inverses."""
-    if int(base) not in _POWERS or len(_POWERS[int(base)][0]) < n:
-        size = max(n, PACK_BYTES + (1 << 16))
-        both = [np.full(size, x, np.uint64) for x in (base, pow(int(base), -1, 1 << 64))]
-        for x in both:
+    """The powers of an odd base modulo 2 ** 64, and their inverses; kept up to what an ordinary pack needs."""
+    held = _POWERS.get(int(base))
+    if held is None or len(held[0]) < n:
+        size = max(n, 1 << 18)
+        held = tuple(np.full(size, x, np.uint64) for x in (base, pow(int(base), -1, 1 << 64)))
+        for x in held:
             x[0] = 1
             np.cumprod(x, out=x)
-        _POWERS[int(base)] = both[0], both[1]
-        if size > PACK_BYTES + (1 << 16):
-            return _POWERS.pop(int(base))
-    return _POWERS[int(base)]
+        if size <= 2 * PACK_BYTES:
+            _POWERS[int(base)] = held
+    return held
 
 
 def window_hashes(values: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
@@ -168,7 +168,9 @@ def with_answers(packs: DataFrame, answers: DataFrame, run: Callable[[int, Pack,
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         blobs = right.column("blob").to_pylist()
-        return pa.concat_tables([run(p, Pack.open(b), blobs) for p, b in zip(left.column("pack").to_pylist(), left.column("blob").to_pylist())])
+        out = pa.concat_tables([run(p, Pack.open(b), blobs) for p, b in zip(left.column("pack").to_pylist(), left.column("blob").to_pylist())])
+        pa.default_memory_pool().release_unused()
+        return out
 
     return packs.select("pack", "blob").groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(both, schema)
 

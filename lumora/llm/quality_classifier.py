@@ -78,7 +78,7 @@ def _shape(word: str) -> int:
         s = word[:64]
         for pattern, to in _SHAPE:
             s = pattern.sub(to, s)
-        if len(_SHAPES) > 300_000:
+        if len(_SHAPES) > 100_000:
             _SHAPES.clear()
         known = _SHAPES[word] = crc32(b"s" + s.encode()) % DIMENSIONS
     return known

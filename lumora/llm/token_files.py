@@ -28,7 +28,7 @@ from lumora.llm.common import blocks_for, documents, id_and_text, shared_dir, wr
 #: The pattern by which byte-level vocabularies split a text before their merges, with White_Space written out.
 TOKENS = rf"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"""
 SEQUENCE, ROWS, END_ID = 1024, 64, 2
-BLOCK_BYTES, CACHE_TOKENS, AT_ONCE = 16 << 20, 700_000, 20_000
+BLOCK_BYTES, CACHE_TOKENS, AT_ONCE = 16 << 20, 400_000, 10_000
 
 _LOADED: dict[str, "ByteBpe"] = {}
 
