@@ -211,13 +211,13 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, more: str | N
     labelled = listed.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = written(labelled, "labelled")
     mixed_lists = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).filter("low < high")
-    parts = max(1, fragments)
-    crossing = labelled.join(mixed_lists.select("key"), "key").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts * 8)))
+    crossing = written(labelled.join(mixed_lists.select("key"), "key").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(fragments))), "crossing")
+    crossing = crossing.join(crossing.groupBy("node").agg(F.count("*").alias("listed")), "node")
 
     def pairs(table: pa.Table) -> pa.Table:
-        key, node, size, label = (table.column(c).to_numpy() for c in ("key", "node", "n", "label"))
+        key, node, size, label, listed = (table.column(c).to_numpy() for c in ("key", "node", "n", "label", "listed"))
         order = np.lexsort((label, key))
-        key, node, size, label = key[order], node[order], size[order], label[order]
+        key, node, size, label, listed = key[order], node[order], size[order], label[order], listed[order]
         cuts = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
         held, sums = [], None
 
@@ -245,6 +245,12 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, more: str | N
                     if waiting > AT_ONCE:
                         sums, held, waiting = merge(), [], 0
         rows = merge() if held else (np.zeros((0, 5), np.int64) if sums is None else sums)
+        # What a pair can share in other fragments is bounded by the lists of either that lie there.
+        every, at, here = np.unique(node, return_index=True, return_counts=True)
+        elsewhere = listed[at] - here
+        others = np.minimum(*(elsewhere[np.searchsorted(every, rows[:, c])] for c in (0, 1)))
+        rest = np.maximum(*(rows[:, c] - prefix_size(rows[:, c], percent) for c in (2, 3)))
+        rows = rows[(rows[:, 4] + others + rest) * (100 + percent) >= percent * (rows[:, 2] + rows[:, 3])]
         return pa.table({k: pa.array(rows[:, c], pa.int64()) for c, k in enumerate(("a", "b", "a_n", "b_n", "c"))})
 
     partial = crossing.groupBy("part").applyInArrow(pairs, "a long, b long, a_n long, b_n long, c long")
