@@ -1,6 +1,6 @@
 """Repeated byte strings by suffix arrays built with linear grouping.
 
-Every 50-byte string chooses the least hash of its 20-byte parts as its anchor, so equal strings have equal anchors. A run of
+Every 50-byte string chooses the least hash of its 28-byte parts as its anchor, so equal strings have equal anchors. A run of
 strings with one anchor is a segment. Segments of anchors that two documents share meet in one bucket, where the suffix array
 of an anchor's distinct segments puts equal strings next to each other. A segment that many documents share counts once.
 """
@@ -19,7 +19,7 @@ from lumora.llm.common import documents
 from lumora.llm.packs import BASE1, BYTES1, MIX2, NO_ID, Pack, bucketed, buckets_for, exchange, mixed, packed, powers, pressed, sliding, unpressed, window_hashes, with_answers
 from lumora.llm.substring_dedup import _gathered, _member, _shared
 
-LENGTH, PART = 50, 20
+LENGTH, PART = 50, 28
 
 
 def grouped_suffixes(s: list[int]) -> list[int]:
