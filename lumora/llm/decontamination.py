@@ -58,34 +58,40 @@ class Block:
         for n, ks in self.lengths.items():
             edits = int(tolerance * n)
             steps = rng.integers(0, 2, (WALKS, 3 * n, self.size + 1), np.int8)
+            steps[:, :, self.size] = 0
+            steps = np.ascontiguousarray(steps.transpose(1, 0, 2)).reshape(3 * n, -1)
             # The Hamming distance of the outputs is taken as six times the edit distance.
             same = max(0.1, 1 - 6 * edits / (3 * n)) ** SAMPLED
             turns = ceil(log(1 - RECALL) / log(1 - same)) if same < 1 else 1
             draws = [(t % WALKS, np.sort(rng.choice(3 * n, min(SAMPLED, 3 * n), replace=False))) for t in range(turns)]
             symbols = np.array([self.items[k][1] for k in ks])
-            outs = [self.embed(symbols, steps[w]) for w in range(WALKS)]
+            outs = self.embed(symbols, steps)
             tables = []
             for w, at in draws:
                 table = defaultdict(list)
-                for k, key in zip(ks, self.keys(outs[w], at)):
+                for k, key in zip(ks, self.keys(outs[:, w], at)):
                     table[key].append(k)
                 tables.append((w, at, dict(table)))
             self.tables[n] = steps, tables
 
     def embed(self, windows: np.ndarray, steps: np.ndarray) -> np.ndarray:
-        """CGK: output j is the symbol at the walk's place, which then moves on or stays by a random bit of (j, symbol)."""
+        """CGK: output j is the symbol at the walk's place, which then moves on or stays by a random bit of (j, symbol).
+
+        All walks go together; the result is by output, walk and window. The symbol behind a window has no step, so that a
+        walk ends there."""
         rows, n = windows.shape
-        padded = np.concatenate([windows, np.full((rows, 1), self.size)], 1)
-        at, out, row = np.zeros(rows, np.int64), np.empty((rows, 3 * n), np.int64), np.arange(rows)
+        flat = np.concatenate([windows, np.full((rows, 1), self.size)], 1).ravel()
+        at, out = np.tile(np.arange(0, rows * (n + 1), n + 1), (WALKS, 1)), np.empty((3 * n, WALKS, rows), np.int64)
+        own = np.arange(WALKS)[:, None] * (self.size + 1)
         for j in range(3 * n):
-            out[:, j] = padded[row, at]
-            at = np.minimum(at + steps[j, out[:, j]], n)
+            flat.take(at, out=out[j], mode="clip")
+            at += steps[j].take(out[j] + own)
         return out
 
     def keys(self, out: np.ndarray, at: np.ndarray) -> list[int]:
-        key = np.zeros(len(out), np.int64)
+        key = np.zeros(out.shape[1], np.int64)
         for j in at:
-            key = key * (self.size + 1) + out[:, j]
+            key = key * (self.size + 1) + out[j]
         return key.tolist()
 
     def symbols(self, words: list[str]) -> np.ndarray:
@@ -121,9 +127,9 @@ class Block:
             for lo in range(0, len(starts), 4096):
                 some = starts[lo : lo + 4096]
                 windows = full[some[:, None] + np.arange(n)]
-                outs = [self.embed(windows, s) for s in steps]
+                outs = self.embed(windows, steps)
                 for w, drawn, table in tables:
-                    for s, key in zip(some.tolist(), self.keys(outs[w], drawn)):
+                    for s, key in zip(some.tolist(), self.keys(outs[:, w], drawn)):
                         for k in table.get(key, ()):
                             places[k].append(s)
         found = []
@@ -131,7 +137,7 @@ class Block:
             item, s, edits = self.items[k]
             best, done = None, -1
             starts = sorted(set(starts))
-            if (same := [a for a in starts if np.array_equal(x[a : a + len(s)], s)]):
+            if (same := [a for a in starts if x[a] == s[0] and np.array_equal(x[a : a + len(s)], s)]):
                 starts, best = [], (item, same[0], len(s), 0)
             for start in starts:
                 if start < done:
