@@ -91,6 +91,17 @@ def test_sharding(docs, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_sharding_keeps_thousands_of_copies_together(spark):
+    texts = ["copied"] * 2500 + ["over a shard"] * 4000 + [f"group {k}" for k in range(200) for _ in range(5)] + [f"single {k}" for k in range(4500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    rows = sharding.shard_documents(docs, shards=4).collect()
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, k) for s in range(4) for k in range(3000)]
+    of = {}
+    for r in rows:
+        of.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert {t: len(s) for t, s in of.items() if len(s) > 1} == {"over a shard": 2}
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
 
