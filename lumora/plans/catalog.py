@@ -408,12 +408,23 @@ def prototype_pick(spark, sf_dir):
 u AS (SELECT DISTINCT x.doc_id AS a, min(y.doc_id) OVER (PARTITION BY x.rule) AS b FROM m x JOIN m y USING (rule)), e AS (SELECT a, b FROM u UNION SELECT b, a FROM u),
 r(node, seen) AS (SELECT DISTINCT doc_id, doc_id FROM m UNION SELECT e.b, r.seen FROM r JOIN e ON e.a = r.node) SELECT node, min(seen) AS root FROM r GROUP BY node""")
 def merge_rules(spark, sf_dir):
-    rules = table(spark, sf_dir, "documents").filter("n_chars > 8000").select(F.col("doc_id").alias("node"), F.explode(F.array(F.concat_ws(":", "source", "lang"), F.sha2("text", 256))).alias("rule"))
+    return _merged(table(spark, sf_dir, "documents").filter("n_chars > 8000"))
+
+
+def _merged(docs: DataFrame) -> DataFrame:
+    """(node, root) of each document: the least that rules of equal source and language or of equal text reach."""
+    rules = docs.select(F.col("doc_id").alias("node"), F.explode(F.array(F.concat("source", F.lit(":"), "lang"), F.sha2("text", 256))).alias("rule"))
     roots = rules.groupBy("rule").agg(F.min("node").alias("b"))
     links = rules.join(roots, "rule").select(F.col("node").alias("a"), "b")
     return graph.components(rules.select("node").distinct(), links).select("node", F.col("label").alias("root"))
 
 
+@query()
+def merge_rules_all(spark, sf_dir):
+    """`merge_rules` takes long documents alone, as its statement does; this one takes all of them."""
+    return _merged(table(spark, sf_dir, "documents"))
+
+
 @query()
 def online_clusters(spark, sf_dir):
     rows = faces(spark, sf_dir).select(F.concat(F.lit("label_"), "label").alias("library"), F.col("asset_id").alias("face_id"), "v")

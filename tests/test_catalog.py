@@ -41,3 +41,22 @@ def test_equals_duckdb(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_merge_rules_of_all_documents(spark, duck):
+    rows = duck.execute("SELECT doc_id, source, lang, text FROM documents").fetchall()
+    root = {r[0]: r[0] for r in rows}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    first = {}
+    for k, source, lang, text in rows:
+        for rule in (("kind", source, lang), ("text", text)):
+            if None not in rule:
+                a, b = sorted((find(k), find(first.setdefault(rule, k))))
+                root[b] = a
+    got = {r.node: r.root for r in catalog.QUERIES["merge_rules_all"](spark, DATA).collect()}
+    assert got == {k: find(k) for k in root}
