@@ -8,6 +8,7 @@ distance must hold; this bound is exact and loses nothing. What shares a key is
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from itertools import repeat
 from math import ceil, log
@@ -19,16 +20,29 @@ from pyspark.sql import functions as F
 
 from lumora.llm.common import documents
 
-#: Allowed word edits for each item word; items of fewer words than LEAST identify no passage and match nothing.
+#: Allowed word edits for each item word; items of fewer words than LEAST match as whole sequences, without edits.
 TOLERANCE, LEAST = 0.2, 5
 WALKS, SAMPLED, RECALL = 4, 3, 0.99
 BLOCK_BYTES = 1 << 19
-#: An item's word also matches with one of these behind it.
+#: These don't count at either side of a word, in items and in texts; words of these alone are none.
 EDGES = ".,;:!?"
+#: Scripts without spaces: short items with one of these match by characters.
+UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+_NO_EDGES = str.maketrans("", "", EDGES)
 
 
-def words_of(text: str) -> list[str]:
-    return text.lower().split()
+def words_of(text: str) -> tuple[list[str], np.ndarray | None]:
+    """The words without EDGES, and their places among the runs between spaces if these hold more."""
+    words = [w.strip(EDGES) for w in text.lower().split()]
+    if all(words):
+        return words, None
+    return [w for w in words if w], np.flatnonzero([bool(w) for w in words])
+
+
+def characters_of(text: str) -> tuple[str, np.ndarray]:
+    """All characters but EDGES and spaces, and where each run between spaces ends among them."""
+    runs = [w.translate(_NO_EDGES) for w in text.lower().split()]
+    return "".join(runs), np.cumsum([len(w) for w in runs])
 
 
 class Block:
@@ -36,13 +50,23 @@ class Block:
 
     def __init__(self, items: list[tuple[int, str]], tolerance: float = TOLERANCE):
         self.vocab: dict[str, int] = {}
-        self.items = []
+        self.items, short = [], []
         for item, text in sorted(items):
-            words = [w for w in (x.strip(EDGES) for x in words_of(text or "")) if w]
-            if len(words) >= LEAST:
+            words = words_of(text or "")[0]
+            if 0 < len(words) < LEAST:
+                short.append((item, text, words))
+            elif words:
                 self.items.append((item, np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words]), int(tolerance * len(words))))
+        self.unspaced: dict[str, list[tuple[int, str]]] = defaultdict(list)
+        spaced = []
+        for item, text, words in short:
+            if UNSPACED.search(text):
+                chars = characters_of(text)[0]
+                self.unspaced[chars[:2]].append((item, chars))
+            else:
+                spaced.append((item, [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words]))
         self.size = len(self.vocab) + 1
-        self.vocab = {w + end: i for w, i in self.vocab.items() for end in ("", *EDGES)} | self.vocab
+        self.levels, self.ends = self.trie(spaced)
         pairs = [s[:-1] * self.size + s[1:] for _, s, _ in self.items]
         owned = np.unique(np.array([(c, k) for k, p in enumerate(pairs) for c in p.tolist()], np.int64).reshape(-1, 2), axis=0)
         self.pairs, first = np.unique(owned[:, 0], return_index=True)
@@ -74,6 +98,21 @@ class Block:
                 tables.append((w, at, dict(table)))
             self.tables[n] = steps, tables
 
+    def trie(self, short: list[tuple[int, list[int]]]) -> tuple[list, dict[int, list[int]]]:
+        """Of each level the sorted codes state * size + symbol and the states they lead to; the items that end in a state."""
+        steps: list[dict[int, int]] = [{} for _ in range(max((len(s) for _, s in short), default=0))]
+        ends, states = defaultdict(list), 0
+        for item, symbols in short:
+            state = 0
+            for level, x in zip(steps, symbols):
+                code = state * self.size + x
+                if code not in level:
+                    states += 1
+                    level[code] = states
+                state = level[code]
+            ends[state].append(item)
+        return [(np.array(sorted(level)), np.array([level[c] for c in sorted(level)])) for level in steps], dict(ends)
+
     def embed(self, windows: np.ndarray, steps: np.ndarray) -> np.ndarray:
         """CGK: output j is the symbol at the walk's place, which then moves on or stays by a random bit of (j, symbol).
 
@@ -99,11 +138,52 @@ class Block:
         return np.fromiter(map(self.vocab.get, words, repeat(0)), np.int64, len(words))
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item id, first word, words, distance) of the best place of each item within its distance in a whole text."""
-        if not self.items:
+        """(item id, first word, words, distance) of the best place of each item within its distance in a whole text; words
+        are counted between spaces."""
+        words, place = words_of(text)
+        x = self.symbols(words)
+        found = self.find_long(x) + self.find_short(x)
+        if place is not None:
+            found = [(item, int(place[a]), int(place[a + n - 1] - place[a]) + 1, d) for item, a, n, d in found]
+        return found + self.find_unspaced(text)
+
+    def find_short(self, x: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """The first place of each short item."""
+        found, at, state = [], np.arange(len(x)), np.zeros(len(x), np.int64)
+        for k, (codes, to) in enumerate(self.levels):
+            inside = at + k < len(x)
+            at, state = at[inside], state[inside]
+            code = state * self.size + x[at + k]
+            near = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+            hit = codes[near] == code
+            at, state = at[hit], to[near[hit]]
+            some, first = np.unique(state, return_index=True)
+            found += [(item, a, k + 1, 0) for s, a in zip(some.tolist(), at[first].tolist()) for item in self.ends.get(s, ())]
+        return found
+
+    def find_unspaced(self, text: str) -> list[tuple[int, int, int, int]]:
+        """The first place of each short item of a script without spaces, by characters. Where an item starts or ends with
+        a letter or digit of another script, no such one of the same word may precede or follow."""
+        if not self.unspaced or not UNSPACED.search(text):
             return []
-        x = self.symbols(words_of(text))
-        if len(x) < 2:
+        chars, ends = characters_of(text)
+        borders, found = {0, *ends.tolist()}, []
+
+        def inside(k: int) -> bool:
+            return k not in borders and all(c.isalnum() and not UNSPACED.match(c) for c in chars[k - 1 : k + 1])
+
+        for head in self.unspaced.keys() & ({chars[k : k + 2] for k in range(len(chars))} | set(chars)):
+            for item, needle in self.unspaced[head]:
+                a = chars.find(needle)
+                while a >= 0 and (inside(a) or inside(a + len(needle))):
+                    a = chars.find(needle, a + 1)
+                if a >= 0:
+                    first, last = (int(np.searchsorted(ends, k, "right")) for k in (a, a + len(needle) - 1))
+                    found.append((item, first, last - first + 1, 0))
+        return found
+
+    def find_long(self, x: np.ndarray) -> list[tuple[int, int, int, int]]:
+        if not self.items or len(x) < 2:
             return []
         code = x[:-1] * self.size + x[1:]
         code[(x[:-1] == 0) | (x[1:] == 0)] = -1
@@ -182,8 +262,8 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
 def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row (doc_id, item_id, start, n_words, distance) for each document and item it holds, at the best place.
 
-    An item of n words matches a part of a text at a word edit distance of int(TOLERANCE * n) at most; case and one
-    mark of EDGES behind a word don't count. Null and empty texts and items match nothing, repeated rows match each, and empty
+    An item of n words matches a part of a text at a word edit distance of int(TOLERANCE * n) at most, one of fewer than
+    LEAST words as a whole sequence; case and marks of EDGES around a word don't count. Null and empty texts and items match nothing, repeated rows match each, and empty
     tables give an empty result. A benchmark beyond one block is searched block by block, each against all documents.
     """
     kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()

@@ -80,6 +80,16 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.find_passages(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_marks_and_short_items(spark):
+    items = ["1 , 2 , 3 , 4 , 5 , 6", "wait... what?! ,foo goes , ... on", "Which one?", "什么是机器学习?", "5年 计划"]
+    texts = [f"so it {items[0]} ends", f"then {items[1]} and on", "see which one, then", "he said (which one)", "他问 他:什么是机器学习?后来", "第15年计划", "第5年 计划", ", , ."]
+    found = decontamination.find_passages(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+        spark.createDataFrame(list(enumerate(items)), "item_id long, text string"),
+    ).collect()
+    assert {tuple(r) for r in found} == {(0, 0, 2, 11, 0), (1, 1, 1, 7, 0), (2, 2, 1, 2, 0), (4, 3, 1, 1, 0), (6, 4, 0, 2, 0)}
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard_documents(docs, shards=4).collect()
     sizes = Counter(r.shard for r in rows)
