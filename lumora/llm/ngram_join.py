@@ -6,7 +6,8 @@ n-grams and counts partial overlaps; sums over the fragments bound the overlap o
 verified on the texts. Equal sets are one node from the start.
 
 Components need no more links than connect them. First each node is verified against the node that it shares most prefix
-n-grams with among the first nodes of its lists. Only pairs between the components so found are then counted in full.
+n-grams with among the first nodes of its lists. Only pairs between the components so found are then counted in full. Where
+the number of links is asked for, this first step is left out and all pairs are counted and verified.
 """
 
 from __future__ import annotations
@@ -124,13 +125,24 @@ def _verified(packs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataF
     return texts.groupBy("b", "part").applyInArrow(compare, "a long, b long")
 
 
-def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, more: str | None = None) -> tuple[DataFrame, DataFrame]:
+def _connected(packs: DataFrame, listed: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The links of each node to its likeliest hub, and the lists with the label of the component that these make."""
+    fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    starred = listed.filter((F.col("node") != F.col("hub")) & fits).groupBy("node", "hub").agg(F.count("*").alias("c"))
+    star = starred.groupBy(F.col("node").alias("a")).agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("b"))
+    near = written(_verified(packs, written(star, "star"), n, percent), "near")
+    labels = components(near)
+    return near, listed.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, more: str | None = None, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """The packs of `docs`, and per row node, doc_id, n_shingles, component_id: the smallest doc_id that links reach.
 
     Two texts link when their sets of n-grams of words, A-Z lower-cased, have a Jaccard similarity of `percent` in a hundred
     or more. A text of fewer words has its whole sequence as one n-gram. Null, empty and wordless texts have no n-grams and
     are alone in their component. Repeated rows are rows of their own. An empty table gives an empty result. N-grams are
-    compared by 64 bits. A null doc_id counts as greater than all others.
+    compared by 64 bits. A null doc_id counts as greater than all others. With `every` all pairs are compared and n_links is
+    the number of linked pairs of rows in the component, copies included; their number may be quadratic in its rows.
     """
     packs = packed(docs, more)
     fragments = buckets_for(packs)
@@ -202,13 +214,9 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, more: str | N
     posted = packs.select("pack", "blob").mapInArrow(post, "fragment long, blob binary")
     listed = written(posted.groupBy("fragment").applyInArrow(lists, "key long, node long, n long, hub long, hub_n long"), "lists")
 
-    fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-    starred = listed.filter((F.col("node") != F.col("hub")) & fits).groupBy("node", "hub").agg(F.count("*").alias("c"))
-    star = starred.groupBy(F.col("node").alias("a")).agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("b"))
-    near = written(_verified(packs, written(star, "star"), n, percent), "near")
-    labels = components(near)
-
-    labelled = listed.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    near, labelled = None, listed.select("key", "node", "n", F.col("node").alias("label"))
+    if not every:
+        near, labelled = _connected(packs, listed, n, percent)
     labelled = written(labelled, "labelled")
     mixed_lists = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).filter("low < high")
     crossing = written(labelled.join(mixed_lists.select("key"), "key").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(fragments))), "crossing")
@@ -259,17 +267,27 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, more: str | N
     rest = F.greatest(*[F.expr(f"{s} - ({s} - ({percent} * {s} + 99) div 100 + 1)") for s in ("a_n", "b_n")])
     possible = summed.filter((F.col("c") + rest) * (100 + percent) >= percent * (F.col("a_n") + F.col("b_n"))).select("a", "b")
     far = _verified(packs, written(possible, "possible"), n, percent)
-    joined = components(written(near.union(far), "all"))
+    links = written(far if every else near.union(far), "all")
+    joined = components(links)
 
-    classes = rows.filter("n > 0").groupBy("sig", "n").agg(F.min("node").alias("lead"), F.min("doc_id").alias("least"))
+    classes = rows.filter("n > 0").groupBy("sig", "n").agg(F.min("node").alias("lead"), F.min("doc_id").alias("least"), F.count("*").alias("m"))
     named = classes.join(joined.toDF("lead", "label"), "lead", "left").withColumn("label", F.coalesce("label", "lead"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    final = named.join(smallest, "label").select("sig", "n", "component_id")
+    final = named.join(smallest, "label").select("sig", "n", "component_id", "label")
+    counted = []
+    if every:
+        # Links of copies, and of each pair of linked sets as many as they have pairs of rows.
+        ends = named.select("lead", "label", "m")
+        across = links.join(ends.toDF("a", "label", "a_m"), "a").join(ends.select("lead", "m").toDF("b", "b_m"), "b")
+        parts = across.select("label", (F.col("a_m") * F.col("b_m")).alias("n_links")).union(named.select("label", F.expr("m * (m - 1) div 2")))
+        final = final.join(parts.groupBy("label").agg(F.sum("n_links").alias("n_links")), "label")
+        counted = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
     out = rows.join(final, ["sig", "n"], "left").select(
         "node",
         F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.expr(f"nullif(coalesce(component_id, doc_id), {NO_ID}L)").alias("component_id"),
+        *counted,
     )
     return packs, out
 
@@ -278,6 +296,11 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(documents(spark, sf_dir))[1].drop("node")
 
 
+def op8_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op8_ngram_join, with the number of links in each component."""
+    return link_documents(documents(spark, sf_dir), every=True)[1].drop("node")
+
+
 OP8_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -300,5 +323,5 @@ SELECT s.doc_id, len(grams)::BIGINT AS n_shingles, coalesce(m.component_id, s.do
 FROM s LEFT JOIN of USING (doc_id) LEFT JOIN m ON m.node = of.lead
 """
 
-QUERIES = {"op8_ngram_join": op8_ngram_join}
+QUERIES = {"op8_ngram_join": op8_ngram_join, "op8_ngram_links": op8_ngram_links}
 SQL = {"op8_ngram_join": OP8_SQL}

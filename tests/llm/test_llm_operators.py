@@ -174,6 +174,21 @@ def test_ngram_join(docs, empty):
     assert root[7] == 5 and ngram_join.link_documents(empty)[1].count() == 0
 
 
+def test_ngram_links_are_counted_inside_components(spark):
+    rng = random.Random(9)
+    base = [str(rng.random()) for _ in range(120)]
+    texts = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in range(0, 120, 20)] + [" ".join(base)] * 3 + [" ".join(base[:110])]
+    texts += [" ".join(str(rng.random()) for _ in range(40)), "", None, "alone", "alone"]
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} - {()} for w in ((t or "").split() for t in texts)]
+    links = [(a, b) for b in range(len(sets)) for a in range(b) if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.link_documents(docs, every=True)[1].collect()}
+    plain = {r.doc_id: r.component_id for r in ngram_join.link_documents(docs)[1].collect()}
+    assert {k: c for k, (c, _) in got.items()} == plain
+    assert {k: n for k, (_, n) in got.items()} == {k: sum(plain[a] == plain[k] for a, _ in links) for k in plain}
+    assert got[0][1] > 20
+
+
 def test_token_files(docs, empty):
     from tokenizers import Tokenizer
 
