@@ -23,11 +23,11 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays. Documents without words stay, and so does
-    every row with a null doc_id."""
+    """Of each group of linked documents the one with the smallest doc_id stays, the first of equal ids. Documents without
+    words stay, and so does every row with a null doc_id."""
     packs, linked = link_documents(with_rest(docs), SHINGLE, PERCENT, REST)
-    lead = linked.filter("doc_id IS NULL OR doc_id = component_id")
-    first = lead.groupBy(F.coalesce("component_id", -1 - F.col("node")).alias("of")).agg(F.min("node").alias("node"))
+    alone = F.when(F.col("doc_id").isNull(), F.col("node"))
+    first = linked.groupBy("component", alone.alias("alone")).agg(F.min_by("node", F.struct("doc_id", "node")).alias("node"))
     return from_rest(rows_of(packs, first.select("node")), docs)
 
 

@@ -136,7 +136,8 @@ def _connected(packs: DataFrame, listed: DataFrame, n: int, percent: int) -> tup
 
 
 def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, more: str | None = None, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The packs of `docs`, and per row node, doc_id, n_shingles, component_id: the smallest doc_id that links reach.
+    """The packs of `docs`, and per row node, doc_id, n_shingles, component_id: the smallest doc_id that links reach,
+    and component: the least node of those that differ in text, which no two components share.
 
     Two texts link when their sets of n-grams of words, A-Z lower-cased, have a Jaccard similarity of `percent` in a hundred
     or more. A text of fewer words has its whole sequence as one n-gram. Null, empty and wordless texts have no n-grams and
@@ -287,18 +288,19 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, more: str | N
         F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.expr(f"nullif(coalesce(component_id, doc_id), {NO_ID}L)").alias("component_id"),
+        F.coalesce("label", "node").alias("component"),
         *counted,
     )
     return packs, out
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_documents(documents(spark, sf_dir))[1].drop("node")
+    return link_documents(documents(spark, sf_dir))[1].drop("node", "component")
 
 
 def op8_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As op8_ngram_join, with the number of links in each component."""
-    return link_documents(documents(spark, sf_dir), every=True)[1].drop("node")
+    return link_documents(documents(spark, sf_dir), every=True)[1].drop("node", "component")
 
 
 OP8_SQL = r"""

@@ -189,6 +189,18 @@ def test_ngram_links_are_counted_inside_components(spark):
     assert got[0][1] > 20
 
 
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    a, b, c, d, e = (" ".join(str(rng.random()) for _ in range(30)) for _ in range(5))
+    rows = [(1, a), (1, b), (2, a), (None, b), (3, ""), (3, ""), (None, c), (None, c), (None, d), (4, d), (7, e), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text or "") for r in corpus_pipeline.one_of_each(spark, docs, "").collect()]
+    want = [(1, a), (1, b), (None, b), (3, ""), (3, ""), (None, c), (None, c), (None, d), (4, d), (7, e), (None, "")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_token_files(docs, empty):
     from tokenizers import Tokenizer
 
