@@ -46,7 +46,7 @@ def _within(x: Column, span: tuple) -> Column:
 
 
 def votes(docs: DataFrame) -> DataFrame:
-    """doc_id and `votes`, one digit for each labeller: 0 bad, 1 good, 2 none. A text without words gets no vote but on its size."""
+    """doc_id and `votes`, one digit for each labeller: 0 bad, 1 good, 2 none. A text without words gets no vote."""
     digits = [F.when(_within(F.expr(m), bad), "0").when(_within(F.expr(m), good), "1").otherwise("2") for _, m, good, bad in LABELLERS]
     return measure(docs).select("doc_id", F.concat(*digits).alias("votes"))
 
@@ -70,17 +70,22 @@ def posterior(table: np.ndarray, prior: float, p: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
 
 
-_SHAPES: dict[str, int] = {}
+#: Longer shapes are hashed in pieces of PIECE characters; longer words are not kept.
+PIECE = 64
+_SHAPES: dict[str, tuple[int, ...]] = {}
 
 
-def _shape(word: str) -> int:
+def _shapes(word: str) -> tuple[int, ...]:
+    """The hashes of the whole word's shape, one unless it is long after its runs are collapsed."""
     if (known := _SHAPES.get(word)) is None:
-        s = word[:64]
+        s = word
         for pattern, to in _SHAPE:
             s = pattern.sub(to, s)
-        if len(_SHAPES) > 100_000:
-            _SHAPES.clear()
-        known = _SHAPES[word] = crc32(b"s" + s.encode()) % DIMENSIONS
+        known = tuple(crc32(b"s" + s[k : k + PIECE].encode()) % DIMENSIONS for k in range(0, len(s), PIECE))
+        if len(word) <= PIECE:
+            if len(_SHAPES) > 100_000:
+                _SHAPES.clear()
+            _SHAPES[word] = known
     return known
 
 
@@ -90,8 +95,10 @@ def features(text: str) -> dict[int, float]:
     counts, total = Counter(words), len(words)
     out: dict[int, float] = {}
     for w, n in counts.items():
-        for at, weight in ((crc32(w.encode()) % DIMENSIONS, 1.0), (_shape(w), 3.0)):
-            out[at] = out.get(at, 0.0) + weight * n / total
+        at, shapes = crc32(w.encode()) % DIMENSIONS, _shapes(w)
+        out[at] = out.get(at, 0.0) + n / total
+        for at in shapes:
+            out[at] = out.get(at, 0.0) + 3.0 / len(shapes) * n / total
     # Shares of repetition: none of them is high in a short text only for being short.
     again = sum(map(eq, words, words[1:]))
     shares = ("adjacent", again), ("top", max(counts.values(), default=1) - 1), ("old", total - len(counts))

@@ -68,6 +68,14 @@ def test_classifier_agrees_with_held_out_labels(spark):
     assert sum(r.kept == (r.quality == 1) for r in both) / len(both) > 0.97
 
 
+def test_classifier_reads_whole_words():
+    heaviest = lambda w: max((f := quality_classifier.features(w)), key=f.get)
+    assert heaviest("a" * 64) != heaviest("a" * 64 + "1" * 9)
+    long, other = "a1" * 100, "a1" * 99 + "-B"
+    pieces = [{at for at, x in quality_classifier.features(w).items() if x != 1.0} for w in (long, other)]
+    assert len(pieces[0] | pieces[1]) > len(pieces[0]) > 1
+
+
 def test_decontamination(spark, docs, empty):
     words = corpus()[5][1].split()
     changed = [*words[30:60]]
