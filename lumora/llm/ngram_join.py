@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from lumora.llm.common import documents, written
 from lumora.llm.components import components
+from lumora.llm.flat import SPACES
 from lumora.llm.packs import BASE1, BASE2, BYTES1, MIX2, NO_ID, Pack, bucketed, buckets_for, mixed, packed, powers, pressed, unpressed, window_hashes, with_answers
-from lumora.llm.substring_dedup import SPACES
 
 #: A document set's prefix order puts n-grams of HEAVY documents and more last; at most HEAVY_KEPT of these are told apart.
 HEAVY, HEAVY_KEPT, TOGETHER, AT_ONCE = 64, 1 << 16, 2048, 1 << 21

@@ -1,59 +1,99 @@
 """Quality by weak labels: expectation-maximisation weighs heuristic labellers, a hashed linear scorer learns their verdict.
 
-Labellers are Spark expressions that vote good, bad or not at all. Only the counts of vote patterns over all documents reach
+Labellers are ranges of counts that vote good, bad or not at all. Only the counts of vote patterns over all documents reach
 the driver, at most 3 ** labellers of them. The posteriors of a bounded sample train the scorer, which then sees every text.
+Counts and features are taken from flat arrays of some texts at once; no step is made for each word.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from operator import eq
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm.common import documents, id_and_text
-from lumora.llm.quality_rules import measure
+from lumora.llm.common import documents, id_and_text, written
+from lumora.llm.flat import Texts, flat, pieces_of, span_hashes
+from lumora.llm.packs import MIX2, mixed
+from lumora.llm.quality_rules import STOP_WORDS, WINDOW
 
 #: Documents whose posterior trains the scorer (in expectation); the only bounded sample here.
 SAMPLE = 8_000
 DIMENSIONS, EPOCHS, RATE, KEEP = 1 << 15, 12, 0.3, 0.5
 
-#: name, metric, good when in, bad when in; ranges are closed, null is open.
+#: name, count, what it is a share of, least words, good when in, bad when in; ranges are closed, None is open.
 LABELLERS = (
-    ("symbols", "n_symbols / nullif(n_words, 0)", (None, 0.02), (0.25, None)),
-    ("stop_words", "if(n_words >= 20, n_stop / n_words, null)", (0.12, None), (None, 0.03)),
-    ("repeats", "n_repeat_words / nullif(n_words, 0)", (None, 0.1), (0.5, None)),
-    ("distinct", "if(n_words >= 20, n_distinct / n_words, null)", (0.25, None), (None, 0.12)),
-    ("stutter", "n_adjacent / nullif(n_words, 0)", (None, 0.05), (0.25, None)),
-    ("exclamations", "n_bangs / nullif(n_words, 0)", (None, 0.05), (0.4, None)),
-    ("bars", "n_bars / nullif(n_words, 0)", (None, 0.05), (0.3, None)),
-    ("lines", "n_dup_lines / nullif(n_lines, 0)", (None, 0.2), (0.6, None)),
-    ("word_length", "word_chars / nullif(n_words, 0)", (3.0, 9.0), (None, 1.5)),
+    ("symbols", "symbols", "words", 1, (None, 0.02), (0.25, None)),
+    ("stop_words", "stop", "words", 20, (0.12, None), (None, 0.03)),
+    ("repeats", "repeat_words", "words", 1, (None, 0.1), (0.5, None)),
+    ("distinct", "distinct", "words", 20, (0.25, None), (None, 0.12)),
+    ("stutter", "adjacent", "words", 1, (None, 0.05), (0.25, None)),
+    ("exclamations", "bangs", "words", 1, (None, 0.05), (0.4, None)),
+    ("bars", "bars", "words", 1, (None, 0.05), (0.3, None)),
+    ("lines", "dup_lines", "lines", 1, (None, 0.2), (0.6, None)),
+    ("word_length", "chars", "words", 1, (3.0, 9.0), (None, 1.5)),
 )
-
-_SHAPE = [(regex.compile(r"\p{Lu}+"), "A"), (regex.compile(r"[\p{L}\p{M}--A]+", regex.V1), "a"), (regex.compile(r"\p{N}+"), "0"), (regex.compile(r"(.)\1+"), r"\1")]
-
-
-def _within(x: Column, span: tuple) -> Column:
-    low, high = span
-    tests = [x >= low] * (low is not None) + [x <= high] * (high is not None)
-    return F.coalesce(tests[0] if len(tests) == 1 else tests[0] & tests[1], F.lit(False))
+PLACES = 3 ** np.arange(len(LABELLERS))
+
+#: Longer shapes are hashed in pieces of PIECE kinds of character.
+PIECE, SHAPE_WEIGHT = 64, 3.0
+SHARES = ("adjacent", "top", "old", "bare")
+_EXTRA = np.array([[crc32(f"f{name}{k}".encode()) % DIMENSIONS for k in range(11)] for name in SHARES])
+_SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    raw = [w.encode() for w in words]
+    ends = np.cumsum([len(w) for w in raw])
+    return np.sort(span_hashes(np.frombuffer(b"".join(raw), np.uint8), ends - [len(w) for w in raw], ends))
+
+
+_STOP, _BAR = _hashes(list(dict.fromkeys(STOP_WORDS))), _hashes(["|"])[0]
+
+
+def counts(texts: Texts) -> dict[str, np.ndarray]:
+    """What the labellers look at, per text. Words are told apart by 48 bits of a hash; stop words by A-Z lower-cased."""
+    low = Texts(texts.data, texts.cuts, lower=True).hash
+    distinct, top, adjacent = texts.repetition()
+    lines, dup_lines = texts.lines()
+    return {
+        "words": texts.n_words,
+        "chars": texts.counted(texts.inside & ((texts.data & 0xC0) != 0x80)),
+        "symbols": texts.counted(_SYMBOLS[texts.data]),
+        "bangs": texts.counted(texts.data == ord("!")),
+        "stop": texts.words_counted(_STOP[np.minimum(np.searchsorted(_STOP, low), len(_STOP) - 1)] == low),
+        "bars": texts.words_counted(texts.hash == _BAR),
+        "repeat_words": texts.repeated_words(WINDOW),
+        "distinct": distinct,
+        "top": top,
+        "adjacent": adjacent,
+        "lines": lines,
+        "dup_lines": dup_lines,
+    }
+
+
+def votes(n: dict[str, np.ndarray]) -> np.ndarray:
+    """The vote pattern of each text as a number of base 3, one digit for each labeller: 0 bad, 1 good, 2 none. A text
+    without words gets no vote."""
+    out = np.zeros(len(n["words"]), np.int64)
+    for place, (_, count, of, least, good, bad) in zip(PLACES, LABELLERS):
+        share = n[count] / np.maximum(n[of], 1)
+        counted = (n["words"] >= least) & (n[of] > 0)
+        inside = [counted & (share >= (-np.inf if low is None else low)) & (share <= (np.inf if high is None else high)) for low, high in (good, bad)]
+        out += place * np.where(inside[1], 0, np.where(inside[0], 1, 2))
+    return out
 
 
-def votes(docs: DataFrame) -> DataFrame:
-    """doc_id and `votes`, one digit for each labeller: 0 bad, 1 good, 2 none. A text without words gets no vote."""
-    digits = [F.when(_within(F.expr(m), bad), "0").when(_within(F.expr(m), good), "1").otherwise("2") for _, m, good, bad in LABELLERS]
-    return measure(docs).select("doc_id", F.concat(*digits).alias("votes"))
+def digits(patterns: np.ndarray) -> np.ndarray:
+    return np.asarray(patterns, np.int64)[:, None] // PLACES % 3
 
 
-def accuracies(patterns: dict[str, int], rounds: int = 50) -> tuple[float, np.ndarray]:
+def accuracies(patterns: dict[int, int], rounds: int = 50) -> tuple[float, np.ndarray]:
     """The share of good documents and p[class, labeller, vote], by expectation-maximisation from a majority vote."""
-    table = np.array([[int(c) for c in p] for p in patterns], int).reshape(len(patterns), len(LABELLERS))
+    table = digits(list(patterns))
     n = np.array(list(patterns.values()), float)
     good = 1 / (1 + np.exp(-2.0 * ((table == 1).sum(1) - 3.0 * (table == 0).sum(1))))
     for _ in range(rounds):
@@ -70,42 +110,41 @@ def posterior(table: np.ndarray, prior: float, p: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
 
 
-#: Longer shapes are hashed in pieces of PIECE characters; longer words are not kept.
-PIECE = 64
-_SHAPES: dict[str, tuple[int, ...]] = {}
-
-
-def _shapes(word: str) -> tuple[int, ...]:
-    """The hashes of the whole word's shape, one unless it is long after its runs are collapsed."""
-    if (known := _SHAPES.get(word)) is None:
-        s = word
-        for pattern, to in _SHAPE:
-            s = pattern.sub(to, s)
-        known = tuple(crc32(b"s" + s[k : k + PIECE].encode()) % DIMENSIONS for k in range(0, len(s), PIECE))
-        if len(word) <= PIECE:
-            if len(_SHAPES) > 100_000:
-                _SHAPES.clear()
-            _SHAPES[word] = known
-    return known
+class Features:
+    """The hashed features of some texts: shares of words, of word shapes, and how often the commonest words repeat."""
+
+    def __init__(self, texts: Texts, n: dict[str, np.ndarray] | None = None):
+        distinct, top, adjacent = (n[k] for k in ("distinct", "top", "adjacent")) if n else texts.repetition()
+        self.texts, total = texts, texts.n_words
+        self.total = np.maximum(total, 1)
+        self.word_at = (mixed(texts.hash, MIX2) % np.uint64(DIMENSIONS)).astype(np.int64)
+        word, share, shape = texts.shapes(PIECE)
+        self.shape_text, self.shape_x, self.shape_at = texts.text[word], SHAPE_WEIGHT * share, (shape % np.uint64(DIMENSIONS)).astype(np.int64)
+        self.shape_first = np.searchsorted(self.shape_text, np.arange(texts.rows + 1))
+        # Shares of repetition: none of them is high in a short text only for being short.
+        again = (adjacent, np.maximum(top, 1) - 1, total - distinct)
+        tenths = [(np.minimum(k, total) / np.maximum(total, 20) * 10).astype(np.int64) for k in again] + [10 * (total == 0)]
+        self.extra = np.stack([e[t] for e, t in zip(_EXTRA, tenths)], 1)
+
+    def linear(self, w: np.ndarray) -> np.ndarray:
+        """The sum of each text's features times `w`."""
+        n = self.texts.rows
+        words, shapes = np.bincount(self.texts.text, w[self.word_at], n), np.bincount(self.shape_text, w[self.shape_at] * self.shape_x, n)
+        return (words + shapes) / self.total + w[self.extra].sum(1)
+
+    def of(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The features of text `k`: where they lie, in ascending order, and their values."""
+        a, b = self.texts.first[k : k + 2]
+        c, d = self.shape_first[k : k + 2]
+        at = np.concatenate([self.word_at[a:b], self.shape_at[c:d], self.extra[k]])
+        x = np.concatenate([np.full(b - a, 1 / self.total[k]), self.shape_x[c:d] / self.total[k], np.ones(len(SHARES))])
+        places, back = np.unique(at, return_inverse=True)
+        return places, np.bincount(back, x)
 
 
 def features(text: str) -> dict[int, float]:
-    """Hashed features of a whole text: shares of words, of word shapes, and how often the commonest words repeat."""
-    words = text.split()
-    counts, total = Counter(words), len(words)
-    out: dict[int, float] = {}
-    for w, n in counts.items():
-        at, shapes = crc32(w.encode()) % DIMENSIONS, _shapes(w)
-        out[at] = out.get(at, 0.0) + n / total
-        for at in shapes:
-            out[at] = out.get(at, 0.0) + 3.0 / len(shapes) * n / total
-    # Shares of repetition: none of them is high in a short text only for being short.
-    again = sum(map(eq, words, words[1:]))
-    shares = ("adjacent", again), ("top", max(counts.values(), default=1) - 1), ("old", total - len(counts))
-    for name, x in [(n, min(k, total) / max(total, 20)) for n, k in shares] + [("bare", float(not total))]:
-        at = crc32(f"f{name}{int(x * 10)}".encode()) % DIMENSIONS
-        out[at] = out.get(at, 0.0) + 1.0
-    return out
+    at, x = Features(Texts(*flat(text))).of(0)
+    return dict(zip(at.tolist(), x.tolist()))
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> tuple[np.ndarray, float]:
@@ -124,49 +163,63 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> tuple[np.ndarray,
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """The scorer's weights. Vote patterns are counted over all documents; about `sample` documents train the scorer."""
-    voted = votes(docs)
-    patterns = {r.votes: r["count"] for r in voted.groupBy("votes").count().collect()}
-    if not patterns:
+    """The scorer's weights. Vote patterns are counted over all documents; about `sample` documents train the scorer, drawn
+    and ordered by a hash of the row, so that neither depends on how rows lie in partitions."""
+    n = docs.count()
+    if not n:
         return np.zeros(DIMENSIONS), 0.0
-    prior, p = accuracies(dict(sorted(patterns.items())))
-    belief = dict(zip(patterns, posterior(np.array([[int(c) for c in x] for x in patterns]), prior, p)))
-    share = min(1.0, sample / sum(patterns.values()))
-    drawn = id_and_text(docs).filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    bound = int(min(1.0, sample / n) * (1 << 30))
+    drawn = id_and_text(docs).select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("draw"))
 
-    def hashed(batches):
+    def look(batches):
+        held = np.zeros(3 ** len(LABELLERS), np.int64)
+        names = ["pattern", "n", "draw", "at", "x"]
         for batch in batches:
-            found = [features(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.float32())), batch.column(2)], ["at", "x", "votes"])
-
-    rows = beside_votes(drawn).mapInArrow(hashed, "at array<int>, x array<float>, votes string").collect()
-    rows.sort(key=lambda r: (r.votes, len(r.at), r.at[:8]))
-    return train([(np.array(r.at), np.array(r.x), belief[r.votes]) for r in rows])
+            draw = batch.column(1).to_numpy()
+            for lo, hi, data, cuts in pieces_of(batch.column(0)):
+                texts = Texts(data, cuts)
+                some = counts(texts)
+                pattern = votes(some)
+                held += np.bincount(pattern, minlength=len(held))
+                chosen = np.flatnonzero(draw[lo:hi] < bound)
+                if len(chosen):
+                    described = Features(texts, some)
+                    found = [described.of(k) for k in chosen]
+                    cols = [pa.array(pattern[chosen]), pa.array([0] * len(chosen)), pa.array(draw[lo:hi][chosen])]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array([at for at, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.float64()))], names)
+        seen = np.flatnonzero(held)
+        none = [pa.nulls(len(seen), t) for t in (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(held[seen]), *none], names)
+
+    looked = written(drawn.mapInArrow(look, "pattern long, n long, draw long, at array<long>, x array<double>"), "votes")
+    patterns = {r.pattern: r.n for r in looked.filter("at IS NULL").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
+    prior, p = accuracies(dict(sorted(patterns.items())))
+    belief = dict(zip(patterns, posterior(digits(list(patterns)), prior, p)))
+    rows = looked.filter("at IS NOT NULL").select("draw", "pattern", "at", "x").collect()
+    rows.sort(key=lambda r: (r.draw, r.pattern, r.at))
+    return train([(np.array(r.at), np.array(r.x), belief[r.pattern]) for r in rows])
 
 
-def beside_votes(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the votes on that very row."""
-    keyed = docs.select(F.struct("doc_id", "text").alias("doc_id"), "text")
-    return votes(keyed).select("doc_id.doc_id", "doc_id.text", "votes")
+def probabilities(column: pa.Array, w: np.ndarray, b: float) -> np.ndarray:
+    """How probably each text is good. The column has no nulls."""
+    z = [Features(Texts(data, cuts)).linear(w) for _, _, data, cuts in pieces_of(column)]
+    return 1 / (1 + np.exp(-np.clip(np.concatenate([*z, np.zeros(0)]) + b, -30, 30)))
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
     """Per row of `docs`: doc_id, text (null: empty), score (the probability that the text is good) and kept.
 
     Null texts count as empty; empty texts and texts without words have features of their own, and are scored like all
-    others. An empty table gives an empty result. Repeated rows get equal scores.
+    others. Very long texts are read whole. An empty table gives an empty result. Repeated rows get equal scores, and so do
+    equal texts of other ids; a null doc_id is kept as it is. Columns other than doc_id and text are left behind, whatever
+    their names.
     """
     w, b = fit(docs, sample)
     shared = docs.sparkSession.sparkContext.broadcast((w, b))
 
     def score(batches):
-        w, b = shared.value
         for batch in batches:
-            z = []
-            for t in batch.column(1):
-                f = features(t.as_py())
-                z.append(float(w[list(f)] @ np.fromiter(f.values(), float)) + b)
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            p = probabilities(batch.column(1), *shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array(p >= keep, pa.bool_())], [*batch.schema.names, "score", "kept"])
 
     rows = id_and_text(docs)
@@ -180,14 +233,8 @@ def without_rejected(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP)
     shared = docs.sparkSession.sparkContext.broadcast((w, b))
 
     def run(batches, at=docs.columns.index("text")):
-        w, b = shared.value
         for batch in batches:
-            good = []
-            for t in batch.column(at):
-                f = features(t.as_py() or "")
-                z = np.clip(float(w[list(f)] @ np.fromiter(f.values(), float)) + b, -30, 30)
-                good.append(bool(1 / (1 + np.exp(-z)) >= keep))
-            yield batch.filter(pa.array(good, pa.bool_()))
+            yield batch.filter(pa.array(probabilities(batch.column(at).fill_null(""), *shared.value) >= keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

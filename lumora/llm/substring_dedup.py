@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumora.llm.common import documents
+from lumora.llm.flat import SPACES
 from lumora.llm.packs import BASE1, BASE2, BYTES1, MIX1, MIX2, NO_ID, Pack, bucketed, buckets_for, exchange, mixed, packed, powers, pressed, sliding, unpressed, window_hashes, with_answers
 
 WINDOW, ANCHOR = 13, 5
 REACH = WINDOW - ANCHOR + 1
-SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 class Words:
