@@ -186,18 +186,18 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
                     described = Features(texts, some)
                     found = [described.of(k) for k in chosen]
                     cols = [pa.array(pattern[chosen]), pa.array([0] * len(chosen)), pa.array(draw[lo:hi][chosen])]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array([at for at, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.float64()))], names)
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array([at.astype("<u2").tobytes() for at, _ in found], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary())], names)
         seen = np.flatnonzero(held)
-        none = [pa.nulls(len(seen), t) for t in (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()))]
+        none = [pa.nulls(len(seen), t) for t in (pa.int64(), pa.binary(), pa.binary())]
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(held[seen]), *none], names)
 
-    looked = written(drawn.mapInArrow(look, "pattern long, n long, draw long, at array<long>, x array<double>"), "votes")
+    looked = written(drawn.mapInArrow(look, "pattern long, n long, draw long, at binary, x binary"), "votes")
     patterns = {r.pattern: r.n for r in looked.filter("at IS NULL").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
     prior, p = accuracies(dict(sorted(patterns.items())))
     belief = dict(zip(patterns, posterior(digits(list(patterns)), prior, p)))
     rows = looked.filter("at IS NOT NULL").select("draw", "pattern", "at", "x").collect()
     rows.sort(key=lambda r: (r.draw, r.pattern, r.at))
-    return train([(np.array(r.at), np.array(r.x), belief[r.pattern]) for r in rows])
+    return train([(np.frombuffer(r.at, "<u2"), np.frombuffer(r.x, "<f4"), belief[r.pattern]) for r in rows])
 
 
 def probabilities(column: pa.Array, w: np.ndarray, b: float) -> np.ndarray:
