@@ -23,7 +23,9 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 #: Texts of these characters only need no Unicode normalisation and have a stable letter classification.
 PLAIN = regex.compile(r"[\x00-\x1B\x20-ɏ‐-‧]*+\Z")
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
-CHUNK, CACHE_WORDS, CACHE_JOINS, NEVER = 10_000, 250_000, 300_000, float("inf")
+CHUNK, CACHE_WORDS, CACHE_JOINS, NEVER = 10_000, 400_000, 300_000, float("inf")
+#: Marks that are no letters, digits or apostrophes; what stands before them in a run is split alone.
+MARKS = ".,;:!?#$%&*+-/<=>@^_|~()[]{}\"`\\"
 END = "</w>"
 SHORT = [2, 1]
 
@@ -63,6 +65,7 @@ class WordBpe:
         self.base = {i: [self.inner[c] for c in s] for s, i in self.inner.items() if all(c in self.inner for c in s)}
         self.base |= {i: [*(self.inner[c] for c in s[:-1]), self.final[s[-1]]] for s, i in self.final.items() if s and all(c in self.inner for c in s[:-1]) and s[-1] in self.final}
         self.sizes = [self._sizes(self.inner), self._sizes(self.final)]
+        self.text = {i: str(i) for i in vocab.values()}
         self.joins: dict[tuple[int, int], bool] = {}
         self.built: dict[int, tuple | None] = {}
         self.known: dict[str, str] = {}
@@ -126,34 +129,52 @@ class WordBpe:
             self._walk(trie, out)
         return out
 
-    def _last(self, prefix: str, table: dict[str, int], path: list[tuple[int, int]]) -> tuple[int, int]:
-        """The last token of `prefix` and its length; path[d] holds these for the first d characters."""
-        n = len(prefix)
-        for size in self.sizes[table is self.final].get(prefix[-3:], SHORT):
-            if size <= n and (t := table.get(prefix[n - size :])) is not None and self.stands(path[n - size][0], t):
-                return t, size
-        raise ValueError(f"no token ends {prefix!r}")
-
     def _walk(self, trie: dict, out: dict[str, str]) -> None:
-        path, stack = [(-1, 0)], [(trie, "")]
+        """Goes depth-first through the trie. tokens[d] and sizes[d] are the last token of the first d characters and its
+        length; a node needs only these of its ancestors."""
+        inner, final, joins, stands = self.inner, self.final, self.joins, self.stands
+        (inner_sizes, final_sizes), text = self.sizes, self.text
+        tokens, sizes, stack = [-1], [0], [(trie, "")]
         while stack:
             node, prefix = stack.pop()
-            del path[max(1, len(prefix)) :]
-            if prefix:
-                path.append(self._last(prefix, self.inner, path))
+            n = len(prefix)
+            if n:
+                del tokens[n:], sizes[n:]
+                for size in inner_sizes.get(prefix[-3:], SHORT):
+                    if size <= n and (t := inner.get(prefix[n - size :])) is not None:
+                        key = tokens[n - size], t
+                        if joins[key] if key in joins else stands(*key):
+                            break
+                else:
+                    raise ValueError(f"no token ends {prefix!r}")
+                tokens.append(t)
+                sizes.append(size)
             for word in node.get("", ()):
-                t, size = self._last(word, self.final, path)
-                ids, at = [str(t)], len(word) - size
+                at = len(word)
+                for size in final_sizes.get(word[-3:], SHORT):
+                    if size <= at and (t := final.get(word[at - size :])) is not None:
+                        key = tokens[at - size], t
+                        if joins[key] if key in joins else stands(*key):
+                            break
+                else:
+                    raise ValueError(f"no token ends {word!r}")
+                ids, at = [text[t]], at - size
                 while at:
-                    t, size = path[at]
-                    ids.append(str(t))
-                    at -= size
-                out[word] = " ".join(reversed(ids))
-            stack += [(child, prefix + c) for c, child in node.items() if c]
+                    ids.append(text[tokens[at]])
+                    at -= sizes[at]
+                ids.reverse()
+                out[word] = " ".join(ids)
+            for c, child in node.items():
+                if c:
+                    stack.append((child, prefix + c))
 
     def split(self, run: str) -> list[str]:
         """The words of a lower-case run of plain characters without white space."""
-        words = WORDS.findall(run)
+        word = run.rstrip(MARKS)
+        if word.isalpha():
+            words = [run] if len(word) == len(run) else [word, run[len(word) :]]
+        else:
+            words = WORDS.findall(run)
         return words if run.isascii() else [w if w.isascii() else w.encode().decode("latin-1") for w in words]
 
     def runs_of(self, text: str) -> list[str]:
@@ -165,14 +186,16 @@ class WordBpe:
         return [" " + "".join(map(self.alphabet.__getitem__, w)) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def learn(self, runs: set[str]) -> None:
-        """Adds the ids of new runs. The caches are emptied when they are full, so their size is bounded."""
+        """Adds the ids of new runs. A full cache keeps only what these texts use, so its size is bounded."""
         if len(self.runs) > CACHE_WORDS:
-            self.runs.clear()
+            self.runs = {r: self.runs[r] for r in runs if r in self.runs}
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        split = {r: [r[1:]] if r[0] == " " else self.split(r) for r in runs}
-        self.known |= self.encode_words({w for ws in split.values() for w in ws if w not in self.known})
-        self.runs |= {r: " ".join(map(self.known.__getitem__, ws)) for r, ws in split.items()}
+        split = {r: [r[1:]] if r[0] == " " else self.split(r) for r in runs if r not in self.runs}
+        new = {w for ws in split.values() for w in ws}
+        self.known.update(self.encode_words(new.difference(self.known)))
+        known = self.known
+        self.runs.update((r, known[ws[0]] if len(ws) == 1 else " ".join([known[w] for w in ws])) for r, ws in split.items())
 
     def encode(self, texts: list[str]) -> list[str]:
         """The ids of each text in decimal, joined by spaces. Strings of special tokens give their ids."""
@@ -180,7 +203,7 @@ class WordBpe:
         split = [[self.runs_of(p) for p in ps[::2]] for ps in parts]
         runs = set().union(*(r for rs in split for r in rs))
         if not runs.issubset(self.runs):
-            self.learn(runs if len(self.runs) > CACHE_WORDS else runs.difference(self.runs))
+            self.learn(runs)
         out = []
         for ps, rs in zip(parts, split):
             ids = [" ".join(map(self.runs.__getitem__, r)) for r in rs]
