@@ -8,6 +8,7 @@ sequences, so sequence k is row k % rows of batch k // rows.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import uuid
@@ -22,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumora.llm.bpe import PLAIN, SPACE, pieces, vocabulary
+from lumora.llm.bpe import MARKS, PLAIN, SPACE, pieces, vocabulary
 from lumora.llm.common import blocks_for, documents, id_and_text, shared_dir, written
 
 #: The pattern by which byte-level vocabularies split a text before their merges, with White_Space written out.
 TOKENS = rf"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"""
 SEQUENCE, ROWS, END_ID = 1024, 64, 2
-BLOCK_BYTES, CACHE_TOKENS, AT_ONCE = 16 << 20, 400_000, 10_000
+BLOCK_BYTES, CACHE_RUNS, AT_ONCE = 16 << 20, 700_000, 1_000
 
 _LOADED: dict[str, "ByteBpe"] = {}
 
@@ -48,53 +49,86 @@ class ByteBpe:
         self.size = self.library.get_vocab_size()
         self.split = regex.compile(TOKENS).findall
         self.wide = re.compile(f"[{SPACE}][{SPACE}]").search
-        self.ids: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for k in range(0, len(texts), AT_ONCE) for e in self.library.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)]
-
-    def _tokens(self, tokens: list[str]) -> bytes:
-        return b"".join(map(self.ids.__getitem__, tokens))
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _raw(self, tokens: list[str]) -> list[bytes]:
+        """The ids of each pre-token. A row of pre-tokens that each start with their only space is split at these spaces
+        again, so such ones go to the library in rows of AT_ONCE; it tells which pre-token each id belongs to."""
+        out: list[bytes] = [b""] * len(tokens)
+        spaced = [k for k, t in enumerate(tokens) if t[0] == " " and len(t) > 1 and t[1] != " "]
+        for at in (spaced[k : k + AT_ONCE] for k in range(0, len(spaced), AT_ONCE)):
+            e = self.library.encode("".join([tokens[k] for k in at]), add_special_tokens=False)
+            raw, of = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
+            ends = (4 * np.cumsum(np.bincount(of, minlength=len(at)))).tolist()
+            start = 0
+            for k, end in zip(at, ends):
+                out[k] = raw[start:end]
+                start = end
+        others = [k for k, x in enumerate(out) if not x]
+        for k, e in zip(others, self.library.encode_batch_fast([tokens[k] for k in others], add_special_tokens=False)):
+            out[k] = array("I", e.ids).tobytes()
+        return out
 
-    def _learn(self, split: list[list[str]]) -> None:
-        if len(self.ids) > CACHE_TOKENS:
-            self.ids.clear()
-        new = list(set().union(*split).difference(self.ids))
-        self.ids.update(zip(new, self._raw(new)))
+    def _learn(self, missing: set[str]) -> None:
+        """Adds the ids of runs behind a space: of letters, of letters and then MARKS, and of any other kind."""
+        runs, letters, marked, odd = self.runs, set(), [], []
+        for r in missing:
+            word = r.rstrip(MARKS)
+            if not word.isalpha():
+                odd.append(r)
+                continue
+            if word not in runs:
+                letters.add(word)
+            if len(word) < len(r):
+                marked.append((r, word, r[len(word) :]))
+        runs.update(zip(letters, self._raw([" " + w for w in letters])))
+        split = {r: self.split(" " + r) for r in odd}
+        ids = self._by_token(set().union(*split.values(), (m for _, _, m in marked)))
+        runs.update([(r, runs[word] + ids[marks]) for r, word, marks in marked])
+        runs.update([(r, b"".join([ids[t] for t in ts])) for r, ts in split.items()])
+
+    def _by_token(self, tokens: set[str]) -> dict[str, bytes]:
+        listed = list(tokens)
+        return dict(zip(listed, self._raw(listed)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers.
 
         A token with a space before it starts at that space, so a text without adjacent white space is cut at its spaces
-        into runs that are looked up whole. Texts with special tokens or characters beyond the plain ones go through the
-        library whole, the others through the cache of pre-tokens.
+        into runs that are looked up whole; a full cache keeps only what these texts use. Texts with special tokens or
+        characters beyond the plain ones go through the library whole, the others by pre-tokens, each once a call.
         """
         out: list[bytes | None] = [None] * len(texts)
         runs, tokens = {}, {}
         for k, text in enumerate(texts):
             if not PLAIN.match(text) or any(s in text for s in self.specials):
-                out[k] = self._raw([text])[0]
+                out[k] = self._whole(text)
             elif self.wide(text):
                 tokens[k] = self.split(text)
             else:
                 runs[k] = text.split(" ")
-        if len(self.runs) > CACHE_TOKENS:
-            self.runs.clear()
-        new = list(set().union(*(r[1:] for r in runs.values())).difference(self.runs))
-        split = [self.split(" " + r) for r in new]
+        used = set().union(*runs.values())
+        if len(self.runs) > CACHE_RUNS:
+            self.runs = {r: self.runs[r] for r in used if r in self.runs}
+        self._learn(used.difference(self.runs))
         heads = {k: self.split(r[0]) for k, r in runs.items()}
-        self._learn([*split, *heads.values(), *tokens.values()])
-        self.runs.update(zip(new, map(self._tokens, split)))
-        for k, x in tokens.items():
-            out[k] = self._tokens(x)
+        ids = self._by_token(set().union(*heads.values(), *tokens.values()))
+        for k, ts in tokens.items():
+            out[k] = b"".join([ids[t] for t in ts])
+        known = self.runs.__getitem__
         for k, r in runs.items():
-            out[k] = self._tokens(heads[k]) + b"".join(map(self.runs.__getitem__, r[1:]))
+            del r[0]
+            out[k] = b"".join([*[ids[t] for t in heads[k]], *map(known, r)])
         return out
 
 
 def tokenizer(path: str) -> ByteBpe:
     if path not in _LOADED:
+        # Very many short lists live for one call and none is part of a cycle.
+        gc.set_threshold(200_000, 20, 20)
         _LOADED[path] = ByteBpe(path)
     return _LOADED[path]
 
