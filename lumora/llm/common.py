@@ -46,6 +46,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def commonest(counts: DataFrame, name: str, n: str, most: int) -> DataFrame:
+    """The `most` rows of the greatest counts `n`, of equal ones those of the least `name`. The count from which rows count
+    is found among the numbers of rows by count, so that no more than about `most` rows are ever sent on to be sorted."""
+    cut, above = 0, 0
+    for r in counts.groupBy(n).agg(F.count("*").alias("rows")).orderBy(F.desc(n)).limit(most).collect():
+        cut = r[n]
+        if above + r.rows >= most:
+            break
+        above += r.rows
+    ties = counts.filter(F.col(n) == cut).orderBy(name).limit(most - above)
+    return counts.filter(F.col(n) > cut).unionByName(ties)
+
+
 def blocks_for(docs: DataFrame, block_bytes: int, least: int = 1) -> int:
     """How many blocks of about `block_bytes` of text hold `docs`; grows with the data, never capped."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -5,9 +5,14 @@ Two sets that reach the threshold share an n-gram of their prefixes, so each fra
 n-grams and counts partial overlaps; sums over the fragments bound the overlap of a pair, and what may reach the threshold is
 verified on the texts. Equal sets are one node from the start.
 
-Components need no more links than connect them. First each node is verified against the node that it shares most prefix
-n-grams with among the first nodes of its lists. Only pairs between the components so found are then counted in full. Where
-the number of links is asked for, this first step is left out and all pairs are counted and verified.
+A set also has a sketch: for each of SKETCH classes of n-grams whether it has an odd number of them. Two sketches differ in
+no more places than the sets differ in n-grams, so a pair whose sketches differ in more than the threshold allows cannot
+reach it. Every fragment decides this alike, so a pair that is left out is left out of all sums.
+
+Components need no more links than connect them. First each node is verified against the TRIED nodes that it shares most
+prefix n-grams with among the hubs of its lists, the first nodes of a list that those behind them may link to; this is repeated
+between the components so found. Only pairs between components are then counted in full. Where the number of links is asked for, this first step is left out and
+all pairs are counted and verified.
 """
 
 from __future__ import annotations
@@ -18,13 +23,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm.common import documents, written
+from lumora.llm.common import commonest, documents, written
 from lumora.llm.components import components
 from lumora.llm.flat import SPACES
-from lumora.llm.packs import BASE1, BASE2, BYTES1, MIX2, NO_ID, Pack, bucketed, buckets_for, mixed, packed, powers, pressed, unpressed, window_hashes, with_answers
+from lumora.llm.packs import BASE1, BASE2, BYTES1, MIX2, NO_ID, Pack, bucketed, mixed, packed, powers, pressed, unpressed, window_hashes, with_answers
 
 #: A document set's prefix order puts n-grams of HEAVY documents and more last; at most HEAVY_KEPT of these are told apart.
-HEAVY, HEAVY_KEPT, TOGETHER, AT_ONCE = 64, 1 << 16, 2048, 1 << 21
+HEAVY, HEAVY_KEPT, TOGETHER, AT_ONCE = 64, 1 << 16, 512, 1 << 20
+FRAGMENT_BYTES, SKETCH, HUBS, TRIED, ROUNDS = 64 << 20, 512, 4, 2, 2
 
 
 def gram_sets(texts: bytes, starts: np.ndarray, n: int) -> list[np.ndarray]:
@@ -58,22 +64,37 @@ def node_of(pack: int, k) -> int:
     return (pack << 23) + k
 
 
-def _sizes_fit(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """The parities of the classes of a set's n-grams, as 64-bit words."""
+    odd = np.bincount((grams >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<u8")
+
+
+def may_link(n: np.ndarray, sketches: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sets numbered `a` and `b` may reach the threshold, by their sizes and sketches."""
+    both = n[a] + n[b]
+    least = -(-percent * both // (100 + percent))
+    fit = np.flatnonzero(np.minimum(n[a], n[b]) >= least)
+    differ = np.bitwise_count(sketches[np.broadcast_to(a, both.shape)[fit]] ^ sketches[b[fit]]).sum(1, dtype=np.int64)
+    out = np.zeros(len(both), bool)
+    out[fit] = differ <= (both - 2 * least)[fit]
+    return out
 
 
 def _postings(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    """key, node, n of one fragment, by key and node; of equal sets only the first node is left."""
-    keys, at, nodes, sigs, sizes, base = [], [], [], [], [], 0
+    """key and number of the set of each posting in one fragment, by key and node, and of the sets node, n and sketch; of
+    equal sets only the first node is left."""
+    keys, at, nodes, sigs, sizes, sketches, base = [], [], [], [], [], [], 0
     for blob in blobs:
         cut = int.from_bytes(blob[:8], "little")
         k, i = unpressed(blob[8 : 8 + cut], "<u8", "<u4")
-        node, sig, n = unpressed(blob[8 + cut :], "<i8", "<i8", "<u4")
+        node, sig, n, odd = unpressed(blob[8 + cut :], "<i8", "<i8", "<u4", f"V{SKETCH // 8}")
         keys.append(k)
         at.append(i.astype(np.int64) + base)
         nodes.append(node)
         sigs.append(sig)
         sizes.append(n)
+        sketches.append(odd)
         base += len(node)
     node, sig, n = (np.concatenate(x) for x in (nodes, sigs, sizes))
     order = np.lexsort((node, sig))
@@ -82,9 +103,9 @@ def _postings(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     lead[order] = node[order][np.flatnonzero(new)][np.cumsum(new) - 1]
     key, i = np.concatenate(keys), np.concatenate(at)
     keep = lead[i] == node[i]
-    key, node, n = key[keep], node[i][keep], n[i][keep].astype(np.int64)
-    order = np.lexsort((node, key))
-    return key[order], node[order], n[order]
+    key, i = key[keep], i[keep]
+    order = np.lexsort((node[i], key))
+    return key[order], i[order], node, n.astype(np.int64), np.concatenate(sketches).view("<u8").reshape(len(node), -1)
 
 
 def _verified(packs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -95,16 +116,14 @@ def _verified(packs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataF
     wanted = spread.select(F.col("a").alias("node"), "b", "part").union(spread.select("b", "b", "part").distinct())
     asked = wanted.groupBy(F.shiftright("node", 23).alias("pack")).agg(F.collect_list(F.struct("node", "b", "part")).alias("of"))
 
-    def send(p: int, pack: Pack, rows: list) -> pa.Table:
-        press = zstandard.ZstdCompressor(3).compress
-        cols = [[r[c] for r in rows] for c in ("node", "b", "part")]
-        texts = {k: press(pack.text(k - (p << 23))) for k in set(cols[0])}
-        return pa.table({"node": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "part": pa.array(cols[2], pa.int64()), "text": pa.array([texts[k] for k in cols[0]], pa.binary())})
-
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = [r for part in right.column("of").to_pylist() for r in part]
-        found = [send(p, Pack.open(b), rows) for p, b in zip(left.column("pack").to_pylist(), left.column("blob").to_pylist())] if rows else []
-        return pa.concat_tables(found) if found else pa.table({"node": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "part": pa.array([], pa.int64()), "text": pa.array([], pa.binary())})
+        of = pa.concat_arrays([c.flatten() for c in right.column("of").chunks]) if right.num_rows else None
+        if of is None or not left.num_rows:
+            return pa.table({"node": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "part": pa.array([], pa.int64()), "text": pa.array([], pa.binary())})
+        p, pack, press = left.column("pack")[0].as_py(), Pack.open(left.column("blob")[0].as_py()), zstandard.ZstdCompressor(3).compress
+        some, which = np.unique(of.field("node").to_numpy(), return_inverse=True)
+        texts = pa.array([press(pack.text(k - (p << 23))) for k in some.tolist()], pa.binary())
+        return pa.table({"node": of.field("node"), "b": of.field("b"), "part": of.field("part"), "text": texts.take(pa.array(which))})
 
     texts = packs.select("pack", "blob").groupBy("pack").cogroup(asked.groupBy("pack")).applyInArrow(both, "node long, b long, part long, text binary")
 
@@ -125,14 +144,96 @@ def _verified(packs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataF
     return texts.groupBy("b", "part").applyInArrow(compare, "a long, b long")
 
 
-def _connected(packs: DataFrame, listed: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The links of each node to its likeliest hub, and the lists with the label of the component that these make."""
-    fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-    starred = listed.filter((F.col("node") != F.col("hub")) & fits).groupBy("node", "hub").agg(F.count("*").alias("c"))
-    star = starred.groupBy(F.col("node").alias("a")).agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("b"))
-    near = written(_verified(packs, written(star, "star"), n, percent), "near")
-    labels = components(near)
-    return near, listed.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _runs(sizes: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Cuts a row of sizes into runs of about `limit` in sum; a larger one is a run of its own."""
+    ends, out, lo = np.cumsum(sizes), [], 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
+def _nearest_hubs(packs: DataFrame, candidates: DataFrame, n: int, percent: int) -> DataFrame:
+    """The links of each node to the hubs that it shares most prefix n-grams with."""
+    counted = candidates.groupBy("node", "hub").agg(F.sum("c").alias("c"))
+    nearest = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "hub"))), 1, TRIED)
+    star = counted.groupBy(F.col("node").alias("a")).agg(nearest.alias("hubs")).select("a", F.explode("hubs.hub").alias("b"))
+    return written(_verified(packs, written(star, "star"), n, percent), "near")
+
+
+def _labelled(listed: DataFrame, links: DataFrame) -> DataFrame:
+    return listed.select("key", "node", "n").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+class Crossing:
+    """The lists of one fragment whose nodes are not all of one component: postings (key, i) by key and i, where i numbers
+    the sets by label and node."""
+
+    def __init__(self, postings: pa.Table, described: pa.Table):
+        node, n, label, here, listed = (described.column(c).to_numpy() for c in ("node", "n", "label", "here", "listed"))
+        order = np.lexsort((node, label))
+        self.node, self.n, self.label, self.elsewhere = node[order], n[order], label[order], (listed - here)[order]
+        self.sketches = np.frombuffer(b"".join(described.column("sketch").to_pylist()), "<u8").reshape(len(node), -1)[order]
+        by_node = np.argsort(self.node)
+        key, i = postings.column("key").to_numpy(), by_node[np.searchsorted(self.node, postings.column("node").to_numpy(), sorter=by_node)]
+        order = np.lexsort((i, key))
+        self.key, self.i = key[order], i[order]
+
+    def hubs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """(set, hub) for each posting with a hub: in each list the first set is the hub of those of other labels that may
+        link to it, the first of those left the next one, HUBS times."""
+        left, found = np.arange(len(self.i)), []
+        for _ in range(HUBS):
+            if not len(left):
+                break
+            new = np.concatenate([[True], self.key[left][1:] != self.key[left][:-1]])
+            head = left[np.flatnonzero(new)][np.cumsum(new) - 1]
+            near = (self.label[self.i[head]] != self.label[self.i[left]]) & may_link(self.n, self.sketches, self.i[head], self.i[left], percent)
+            found.append((self.i[left[near]], self.i[head[near]]))
+            left = left[~new & ~near]
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (left, left)
+
+    def pairs(self, percent: int) -> tuple[np.ndarray, ...]:
+        """(x, y, c) for the pairs of sets of different labels that may link: how many postings they share here."""
+        ends = np.append(np.flatnonzero(self.key[1:] != self.key[:-1]) + 1, len(self.key))
+        # Postings of one label follow each other: all later ones of a list are partners of another label.
+        label = self.label[self.i]
+        same = np.append(np.flatnonzero((self.key[1:] != self.key[:-1]) | (label[1:] != label[:-1])) + 1, len(self.key))
+        place = np.arange(len(self.key))
+        behind = same[np.searchsorted(same, place, "right")] if len(place) else place
+        times = (ends[np.searchsorted(ends, place, "right")] if len(place) else place) - behind
+        held, sums, waiting = [], np.zeros((0, 3), np.int64), 0
+
+        def merged():
+            rows = np.concatenate([*held, sums])
+            rows = rows[np.argsort(rows[:, 0] * len(self.node) + rows[:, 1], kind="stable")]
+            new = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)])) if len(rows) else np.zeros(0, np.int64)
+            out = rows[new]
+            if len(new):
+                out[:, 2] = np.add.reduceat(rows[:, 2], new)
+            return out
+
+        for lo, hi in _runs(times, AT_ONCE):
+            x = np.repeat(place[lo:hi], times[lo:hi])
+            y = behind[x] + np.arange(len(x)) - np.repeat(np.cumsum(times[lo:hi]) - times[lo:hi], times[lo:hi])
+            x, y = self.i[x], self.i[y]
+            near = may_link(self.n, self.sketches, x, y, percent)
+            held.append(np.stack([x[near], y[near], np.ones(near.sum(), np.int64)], 1))
+            waiting += len(held[-1])
+            if waiting > AT_ONCE:
+                sums, held, waiting = merged(), [], 0
+        return tuple(merged().T)
+
+
+def _crossing(labelled: DataFrame, sketches: DataFrame, fragments: int) -> tuple[DataFrame, DataFrame]:
+    """The postings (part, key, node) of lists with several labels, and what is known of the nodes in each part."""
+    mixed_lists = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    crossing = written(labelled.join(mixed_lists.select("key"), "key").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(fragments))), "crossing")
+    total = crossing.groupBy("node").agg(F.count("*").alias("listed"))
+    here = crossing.groupBy("part", "node").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.count("*").alias("here"))
+    about = written(here.join(total, "node").join(sketches, "node"), "about")
+    return crossing.select("part", "key", "node"), about
 
 
 def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, more: str | None = None, every: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -146,7 +247,7 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, more: str | N
     the number of linked pairs of rows in the component, copies included; their number may be quadratic in its rows.
     """
     packs = packed(docs, more)
-    fragments = buckets_for(packs)
+    fragments = max(1, (packs.agg(F.sum("n_bytes")).first()[0] or 0) // FRAGMENT_BYTES)
 
     def describe(batches):
         for batch in batches:
@@ -156,15 +257,16 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, more: str | N
                 every, times = np.unique(np.concatenate(sets), return_counts=True)
                 common = times > 1
                 about = np.array([len(s) for s in sets]), np.array([signature(s) for s in sets], np.int64)
-                rows = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (node_of(p, np.arange(len(sets))), pack.ids, *about)], ["node", "doc_id", "n", "sig"])
+                odd = pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary())
+                rows = pa.StructArray.from_arrays([*[pa.array(x, pa.int64()) for x in (node_of(p, np.arange(len(sets))), pack.ids, *about)], odd], ["node", "doc_id", "n", "sig", "sketch"])
                 grams = pa.StructArray.from_arrays([pa.array(every[common].astype(np.int64)), pa.array(times[common], pa.int64())], ["gram", "c"])
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (rows, grams)]
                 yield pa.RecordBatch.from_arrays(lists, ["docs", "grams"])
 
-    told = written(packs.select("pack", "blob").mapInArrow(describe, "docs array<struct<node: long, doc_id: long, n: long, sig: long>>, grams array<struct<gram: long, c: long>>"), "told")
-    rows = told.select(F.inline("docs"))
+    told = written(packs.select("pack", "blob").mapInArrow(describe, "docs array<struct<node: long, doc_id: long, n: long, sig: long, sketch: binary>>, grams array<struct<gram: long, c: long>>"), "told")
+    rows, sketches = told.select(F.inline("docs")).drop("sketch"), told.select(F.inline("docs")).select("node", "sketch")
     common = told.select(F.inline("grams")).groupBy("gram").agg(F.sum("c").alias("c")).filter(F.col("c") >= HEAVY)
-    heavy = common.orderBy(F.desc("c"), "gram").limit(HEAVY_KEPT).collect()
+    heavy = commonest(common, "gram", "c", HEAVY_KEPT).collect()
     grams = np.array([r.gram for r in heavy], np.int64).astype(np.uint64)
     order = np.argsort(grams)
     level = np.log2(np.array([r.c for r in heavy], float) / HEAVY + 1).astype(np.uint64)
@@ -180,7 +282,7 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, more: str | N
                     sig = signature(s)
                     if not len(s) or sig in seen:
                         continue
-                    seen[sig] = k, len(s)
+                    seen[sig] = k, len(s), sketch(s)
                     key = mixed(s, MIX2) >> np.uint64(4)
                     if len(grams):
                         at = np.minimum(np.searchsorted(grams, s), len(grams) - 1)
@@ -194,75 +296,67 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, more: str | N
                 # Fragments are ranges of the order spread evenly by another hash; a gram's list lies in one fragment.
                 place = mixed(key)
                 order = np.argsort(place, kind="stable")
-                out, of = [], {k: (sig, size) for sig, (k, size) in seen.items()}
+                out, of = [], {k: (sig, size, odd) for sig, (k, size, odd) in seen.items()}
                 for b, (_, k, d) in bucketed(place[order], fragments, key[order], doc[order]):
                     mine, at = np.unique(d, return_inverse=True)
                     by = np.argsort(k, kind="stable")
                     first = pressed(k[by], at[by].astype(np.uint32))
-                    table = pressed(node_of(p, mine.astype(np.int64)), np.array([of[x][0] for x in mine.tolist()], np.int64), np.array([of[x][1] for x in mine.tolist()], np.uint32))
+                    table = pressed(node_of(p, mine.astype(np.int64)), np.array([of[x][0] for x in mine.tolist()], np.int64), np.array([of[x][1] for x in mine.tolist()], np.uint32), np.stack([of[x][2] for x in mine.tolist()]).view(f"V{SKETCH // 8}").ravel())
                     out.append((b, len(first).to_bytes(8, "little") + first + table))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.binary())], ["fragment", "blob"])
 
     def lists(table: pa.Table) -> pa.Table:
-        key, node, size = _postings(table.column("blob").to_pylist())
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        at = np.cumsum(new) - 1
-        long = np.bincount(at)[at] > 1
-        first = np.flatnonzero(new)[at]
-        cols = key[long].astype(np.int64), node[long], size[long], node[first][long], size[first][long]
-        return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("key", "node", "n", "hub", "hub_n"), cols)})
+        key, i, node, n, sketches = _postings(table.column("blob").to_pylist())
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(start, len(key)))
+        key, i, first = (x[np.repeat(size > 1, size)] for x in (key, i, np.repeat(start, size)))
+        hub, left = np.full(len(i), -1), np.arange(len(i))
+        for _ in range(HUBS):
+            # The first of those left in each list is their hub; who may not link to it waits for the next.
+            new = np.concatenate([[True], first[left][1:] != first[left][:-1]]) if len(left) else np.zeros(0, bool)
+            head = left[np.flatnonzero(new)][np.cumsum(new) - 1] if len(left) else left
+            near = ~new & may_link(n, sketches, i[head], i[left], percent)
+            hub[left[near]] = node[i[head[near]]]
+            left = left[~new & ~near]
+        hubs = pa.array(hub, pa.int64(), mask=hub < 0)
+        return pa.table({"key": pa.array(key.astype(np.int64)), "node": pa.array(node[i], pa.int64()), "n": pa.array(n[i], pa.int64()), "hub": hubs})
 
     posted = packs.select("pack", "blob").mapInArrow(post, "fragment long, blob binary")
-    listed = written(posted.groupBy("fragment").applyInArrow(lists, "key long, node long, n long, hub long, hub_n long"), "lists")
+    listed = written(posted.groupBy("fragment").applyInArrow(lists, "key long, node long, n long, hub long"), "lists")
+
+    def more_hubs(table: pa.Table, described: pa.Table) -> pa.Table:
+        at = Crossing(table, described)
+        i, hub = at.hubs(percent)
+        pair, c = np.unique(i * max(len(at.node), 1) + hub, return_counts=True)
+        i, hub = pair // max(len(at.node), 1), pair % max(len(at.node), 1)
+        return pa.table({"node": pa.array(at.node[i], pa.int64()), "hub": pa.array(at.node[hub], pa.int64()), "c": pa.array(c, pa.int64())})
+
+    def pairs(table: pa.Table, described: pa.Table) -> pa.Table:
+        at = Crossing(table, described)
+        node, size = at.node, at.n
+        x, y, c = at.pairs(percent)
+        # What a pair can share in other fragments is bounded by the lists of either that lie there.
+        rest = np.maximum(*(size[k] - prefix_size(size[k], percent) for k in (x, y)))
+        keep = (c + np.minimum(at.elsewhere[x], at.elsewhere[y]) + rest) * (100 + percent) >= percent * (size[x] + size[y])
+        x, y, c = x[keep], y[keep], c[keep]
+        x, y = np.where(node[x] < node[y], y, x), np.where(node[x] < node[y], x, y)
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("a", "b", "a_n", "b_n", "c"), (node[x], node[y], size[x], size[y], c))})
 
     near, labelled = None, listed.select("key", "node", "n", F.col("node").alias("label"))
     if not every:
-        near, labelled = _connected(packs, listed, n, percent)
+        near = _nearest_hubs(packs, listed.filter("hub IS NOT NULL").select("node", "hub", F.lit(1).alias("c")), n, percent)
+        labelled = _labelled(listed, near)
     labelled = written(labelled, "labelled")
-    mixed_lists = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).filter("low < high")
-    crossing = written(labelled.join(mixed_lists.select("key"), "key").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(fragments))), "crossing")
-    crossing = crossing.join(crossing.groupBy("node").agg(F.count("*").alias("listed")), "node")
-
-    def pairs(table: pa.Table) -> pa.Table:
-        key, node, size, label, listed = (table.column(c).to_numpy() for c in ("key", "node", "n", "label", "listed"))
-        order = np.lexsort((label, key))
-        key, node, size, label, listed = key[order], node[order], size[order], label[order], listed[order]
-        cuts = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
-        held, sums = [], None
-
-        def merge():
-            rows = np.concatenate([*held, *([] if sums is None else [sums])])
-            by = np.lexsort((rows[:, 1], rows[:, 0]))
-            rows = rows[by]
-            new = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)]))
-            out = rows[new]
-            out[:, 4] = np.add.reduceat(rows[:, 4], new)
-            return out
-
-        waiting = 0
-        for a, b in zip(cuts, cuts[1:]):
-            for i in range(a, b - 1):
-                # Rows of one label follow each other: all later rows of another label are partners.
-                j = i + 1 + np.searchsorted(label[i + 1 : b], label[i], "right")
-                k = np.arange(j, b)
-                k = k[_sizes_fit(size[k], size[i], percent)]
-                if len(k):
-                    me = np.full(len(k), node[i])
-                    less = node[k] < me
-                    held.append(np.stack([np.where(less, me, node[k]), np.where(less, node[k], me), np.where(less, size[i], size[k]), np.where(less, size[k], size[i]), np.ones(len(k), np.int64)], 1))
-                    waiting += len(k)
-                    if waiting > AT_ONCE:
-                        sums, held, waiting = merge(), [], 0
-        rows = merge() if held else (np.zeros((0, 5), np.int64) if sums is None else sums)
-        # What a pair can share in other fragments is bounded by the lists of either that lie there.
-        every, at, here = np.unique(node, return_index=True, return_counts=True)
-        elsewhere = listed[at] - here
-        others = np.minimum(*(elsewhere[np.searchsorted(every, rows[:, c])] for c in (0, 1)))
-        rest = np.maximum(*(rows[:, c] - prefix_size(rows[:, c], percent) for c in (2, 3)))
-        rows = rows[(rows[:, 4] + others + rest) * (100 + percent) >= percent * (rows[:, 2] + rows[:, 3])]
-        return pa.table({k: pa.array(rows[:, c], pa.int64()) for c, k in enumerate(("a", "b", "a_n", "b_n", "c"))})
-
-    partial = crossing.groupBy("part").applyInArrow(pairs, "a long, b long, a_n long, b_n long, c long")
+    crossing, about = _crossing(labelled, sketches, fragments)
+    for _ in range(0 if every else ROUNDS):
+        found = crossing.groupBy("part").cogroup(about.groupBy("part")).applyInArrow(more_hubs, "node long, hub long, c long")
+        more = _nearest_hubs(packs, found, n, percent)
+        if more.isEmpty():
+            break
+        near = near.union(more)
+        labelled = written(_labelled(listed, near), "labelled")
+        crossing, about = _crossing(labelled, sketches, fragments)
+    partial = crossing.groupBy("part").cogroup(about.groupBy("part")).applyInArrow(pairs, "a long, b long, a_n long, b_n long, c long")
     summed = partial.groupBy("a", "b", "a_n", "b_n").agg(F.sum("c").alias("c"))
     # Shared n-grams beyond the prefixes lie in the rest of the set whose prefix ends first.
     rest = F.greatest(*[F.expr(f"{s} - ({s} - ({percent} * {s} + 99) div 100 + 1)") for s in ("a_n", "b_n")])
