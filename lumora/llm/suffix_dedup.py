@@ -3,12 +3,13 @@
 Every 50-byte string chooses the least hash of its 20-byte parts as its anchor, so equal strings have equal anchors. A run of
 strings with one anchor is a segment. Segments of anchors that two documents share meet in one bucket, where the suffix array
 of an anchor's distinct segments puts equal strings next to each other. A segment that many documents share counts once.
+Anchors are many and their segments short, so the suffix arrays of all anchors are built side by side, one group of each at
+a time.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from lumora.llm.common import documents
-from lumora.llm.packs import BASE1, BYTES1, MIX2, NO_ID, Pack, bucketed, buckets_for, exchange, mixed, packed, powers, pressed, sliding, unpressed, window_hashes, with_answers
+from lumora.llm.packs import BASE1, BASE2, BYTES1, MIX2, NO_ID, Pack, bucketed, buckets_for, exchange, mixed, packed, powers, pressed, released, sliding, unpressed, window_hashes, with_answers
 from lumora.llm.substring_dedup import _gathered, _member, _shared
 
 LENGTH, PART = 50, 20
+#: Bytes of segments that are looked at together; strings of more symbols than LONG are sorted one by one.
+AT_ONCE, LONG = 5 << 19, 3000
 
 
 def grouped_suffixes(s: list[int]) -> list[int]:
@@ -87,26 +90,129 @@ def grouped_suffixes(s: list[int]) -> list[int]:
     return out
 
 
-def least_by_window(segments: list[bytes], docs: list[int], length: int = LENGTH) -> list[list[int]]:
-    """For each segment and each `length`-byte string in it the least document that has the string in some segment."""
-    if len(segments) == 1:
-        return [[docs[0]] * (len(segments[0]) - length + 1)]
-    joined, owner, begin = [], [], []
-    for k, x in enumerate(segments):
-        begin.append(len(joined))
-        joined += [b + 2 for b in x]
-        joined.append(1)
-        owner += [k] * (len(x) + 1)
-    joined.append(0)
-    owner.append(-1)
-    out = [[d] * (len(x) - length + 1) for x, d in zip(segments, docs)]
-    valid = [(i, owner[i], i - begin[owner[i]]) for i in grouped_suffixes(joined) if owner[i] >= 0 and i - begin[owner[i]] < len(out[owner[i]])]
-    for _, same in groupby(valid, lambda x: segments[x[1]][x[2] : x[2] + length]):
-        same = list(same)
-        if len(same) > 1:
-            least = min(docs[k] for _, k, _ in same)
-            for _, k, place in same:
-                out[k][place] = least
+def grouped_suffixes_of(s: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """As `grouped_suffixes` for the strings between `cuts`, side by side: the places in `s` of all suffixes, string by string.
+
+    Each step takes the highest group left of every string, so there are as many steps as the string of most groups has.
+    """
+    n, m, base = len(s), len(cuts) - 1, cuts[:-1]
+    string = np.repeat(np.arange(m), np.diff(cuts))
+    order = np.lexsort((s, string))
+    place, start = np.empty(n, np.int64), np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    new = np.concatenate([[True], (s[order][1:] != s[order][:-1]) | (string[order][1:] != string[order][:-1])])
+    first = np.flatnonzero(new)
+    start[order] = first[np.cumsum(new) - 1]
+    size = np.zeros(n, np.int64)
+    size[first] = np.diff(np.append(first, n))
+    prev, moving, end, live = np.full(n, -1), np.zeros(n, bool), cuts[1:].copy(), np.arange(m)
+    while len(live):
+        top, begin = end[live], base[live]
+        low = start[order[top - 1]]
+        count = top - low
+        own = np.repeat(np.arange(len(live)), count)
+        i = order[low[own] + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)]
+        lowest, begin = low[own], begin[own]
+        p = i - 1
+        walk = np.flatnonzero((p >= begin) & (start[p] >= lowest))
+        while len(walk):
+            q = p[walk]
+            # Pointers of this very group are not set yet: go on one place to the left.
+            q = np.where(start[q] == lowest[walk], q - 1, prev[q])
+            p[walk] = q
+            walk = walk[(q >= begin[walk]) & (start[q] >= lowest[walk])]
+        p[p < begin] = -1
+        prev[i] = p
+        found = np.sort(p[p >= 0])
+        if len(found):
+            new = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+            q, times = found[new], np.diff(np.append(new, len(found)))
+            by = np.lexsort((times, start[q]))
+            q, times, old = q[by], times[by], start[q[by]]
+            heads = np.flatnonzero(np.concatenate([[True], old[1:] != old[:-1]]))
+            moved = np.diff(np.append(heads, len(q)))
+            of, groups = np.repeat(np.arange(len(heads)), moved), old[heads]
+            tail = groups + size[groups] - moved
+            to = tail[of] + np.arange(len(q)) - heads[of]
+            split = np.concatenate([[True], (old[1:] != old[:-1]) | (times[1:] != times[:-1])])
+            parts = np.flatnonzero(split)
+            # Those that stand where others move to take the places that these leave.
+            here, stood = place[q], order[to]
+            moving[q] = True
+            stay, left = stood[~moving[stood]], here[here < tail[of]]
+            moving[q] = False
+            order[left], place[stay] = stay, left
+            order[to], place[q] = q, to
+            size[groups] -= moved
+            start[q] = to[parts][np.cumsum(split) - 1]
+            size[to[parts]] = np.diff(np.append(parts, len(q)))
+        end[live] = low
+        live = live[low > base[live]]
+    out, front, done, last = np.zeros(n, np.int64), np.arange(n), np.zeros(n, bool), cuts[1:] - 1
+    out[base], done[last] = last, True
+    size, live = np.diff(cuts), np.arange(m)
+    for k in range(int(size.max(initial=0))):
+        live = live[size[live] > k]
+        j = out[base[live] + k] - 1
+        j = j[j >= base[live]]
+        j = j[~done[j]]
+        while len(j):
+            to = front[start[j]]
+            out[to], done[j] = j, True
+            front[start[j]] = to + 1
+            j = prev[j]
+            j = j[j >= 0]
+            j = j[~done[j]]
+    return out
+
+
+def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """0 0 .. 1 1 .. by `counts`, and the number of each entry among its equals."""
+    own = np.repeat(np.arange(len(counts)), counts)
+    return own, np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def least_by_window(data: np.ndarray, offset: np.ndarray, size: np.ndarray, anchor: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For the `length`-byte strings of each segment, one segment behind the other, the least document that has the string in
+    a segment of the same anchor. Segments are distinct and in the order of their anchors."""
+    windows = size - length + 1
+    out = np.repeat(doc, windows)
+    first = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+    group = np.cumsum(first) - 1
+    some = np.flatnonzero(np.bincount(group)[group] > 1)
+    if not len(some):
+        return out
+    # The string of an anchor: its segments, each closed by 1, and a 0. The bytes are 2 and more.
+    first, group = first[some], np.cumsum(first[some]) - 1
+    begin = np.cumsum(size[some] + 1) - size[some] - 1 + group
+    own, k = spread(size[some])
+    s = np.zeros(int(begin[-1] + size[some][-1] + 2), np.int32)
+    s[begin[own] + k] = data[offset[some][own] + k] + np.int32(2)
+    s[begin + size[some]] = 1
+    cuts = np.append(begin[first], len(s))
+    owner = np.repeat(np.arange(len(some)), np.diff(np.append(begin, len(s))))
+    fits = np.arange(len(s)) - begin[owner] < windows[some][owner]
+    long = np.diff(cuts) > LONG
+    if long.any():
+        parts = [np.array(grouped_suffixes(s[a:b].tolist())) + a if x else None for a, b, x in zip(cuts, cuts[1:], long)]
+        short = np.flatnonzero(~long)
+        if len(short):
+            own, k = spread(np.diff(cuts)[short])
+            at = cuts[short][own] + k
+            sorted_at = at[grouped_suffixes_of(s[at], np.concatenate([[0], np.cumsum(np.diff(cuts)[short])]))]
+            ends = np.cumsum(np.diff(cuts)[short])
+            for g, a, b in zip(short, np.concatenate([[0], ends]), ends):
+                parts[g] = sorted_at[a:b]
+        order = np.concatenate(parts)
+    else:
+        order = grouped_suffixes_of(s, cuts)
+    order = order[fits[order]]
+    raw = offset[some][owner[order]] + order - begin[owner[order]]
+    text = data[raw[:, None] + np.arange(length)]
+    new = np.concatenate([[True], (text[1:] != text[:-1]).any(1) | (group[owner[order]][1:] != group[owner[order]][:-1])])
+    least = np.minimum.reduceat(doc[some][owner[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
+    where = np.cumsum(windows) - windows
+    out[where[some][owner[order]] + order - begin[owner[order]]] = least
     return out
 
 
@@ -125,57 +231,80 @@ class Strings:
         # Low bits are left out as far as chance equality stays rare; anchors only choose what is compared.
         self.anchor = (mixed(least) >> np.uint64(64 - bits)) << np.uint64(64 - bits)
 
-    def segments(self, pack: Pack, wanted: np.ndarray | None = None) -> list[tuple[int, int, int, bytes]]:
-        """(anchor, text number, first string, bytes) of the runs of strings of one text with one anchor, of all or
-        of the wanted anchors."""
+    def segments(self, wanted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """(anchor, text number, first byte, bytes) of the runs of strings of one text with one anchor, of all or of the
+        wanted anchors."""
         at = np.flatnonzero(self.valid if wanted is None else self.valid & _member(self.anchor >> np.uint64(1), wanted))
-        if not len(at):
-            return []
-        cut = np.flatnonzero((np.diff(at) > 1) | (self.anchor[at[1:]] != self.anchor[at[:-1]]) | (self.doc[at[1:]] != self.doc[at[:-1]])) + 1
-        first, last = at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [len(at) - 1]])]
-        return [(a, d, f, pack.data[f : e + LENGTH]) for a, d, f, e in zip(self.anchor[first].tolist(), self.doc[first].tolist(), first.tolist(), last.tolist())]
-
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (self.anchor[at[1:]] != self.anchor[at[:-1]]) | (self.doc[at[1:]] != self.doc[at[:-1]])])) if len(at) else at
+        first, last = at[new], at[np.append(new[1:], len(at)) - 1] if len(at) else at
+        return self.anchor[first], self.doc[first], first, last - first + LENGTH
 
-def _key(segment: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(segment, digest_size=16).digest(), "little")
 
+def _keys(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of hash for each segment."""
+    out = []
+    for base in (BASE1, BASE2):
+        up, down = powers(base, len(data) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTES1[data] * up[: len(data)])])
+        out.append(mixed((sums[first + size] - sums[first]) * down[first] + size.astype(np.uint64)))
+    return out[0], out[1]
 
-def _packed_segments(rows: list[tuple[int, bytes, int, int]]) -> bytes:
-    anchors, least, most = (np.array([r[c] for r in rows], t) for c, t in ((0, "<u8"), (2, "<i8"), (3, "<i8")))
-    sizes = np.array([len(r[1]) for r in rows], "<u4")
-    table = pressed(anchors, least, most, sizes)
-    return len(table).to_bytes(8, "little") + table + zstandard.ZstdCompressor(3).compress(b"".join(r[1] for r in rows))
 
-
-def _unpacked_segments(blob: bytes) -> list[tuple[int, bytes, int, int]]:
-    cut = 8 + int.from_bytes(blob[:8], "little")
-    anchors, least, most, sizes = unpressed(blob[8:cut], "<u8", "<i8", "<i8", "<u4")
-    data, ends = zstandard.ZstdDecompressor().decompress(blob[cut:]), np.cumsum(sizes.astype(np.int64))
-    return [(a, data[e - s : e], lo, hi) for a, s, e, lo, hi in zip(anchors.tolist(), sizes.tolist(), ends.tolist(), least.tolist(), most.tolist())]
+def _packed_segments(anchor: np.ndarray, least: np.ndarray, most: np.ndarray, size: np.ndarray, text: bytes) -> bytes:
+    table = pressed(anchor, least, most, size.astype(np.uint32))
+    return len(table).to_bytes(8, "little") + table + zstandard.ZstdCompressor(3).compress(text)
 
 
 def _answers(packs: list[int], blobs: list[bytes]) -> dict[int, bytes]:
-    held: dict[int, dict[bytes, int]] = {}
-    asked: dict[int, list] = {}
-    for p, blob in zip(packs, blobs):
-        rows = _unpacked_segments(blob)
-        asked.setdefault(p, []).extend(rows)
-        for a, x, lo, _ in rows:
-            of = held.setdefault(a, {})
-            of[x] = min(of.get(x, lo), lo)
-    found: dict[tuple[int, bytes], list[int]] = {}
-    for a, of in held.items():
-        for x, least in zip(of, least_by_window(list(of), list(of.values()))):
-            found[a, x] = least
+    tables, texts, at = [], [], 0
+    for blob in blobs:
+        cut = 8 + int.from_bytes(blob[:8], "little")
+        anchor, least, most, size = unpressed(blob[8:cut], "<u8", "<i8", "<i8", "<u4")
+        text = zstandard.ZstdDecompressor().decompress(blob[cut:])
+        size = size.astype(np.int64)
+        tables.append((anchor, least, most, size, at + np.cumsum(size) - size))
+        texts.append(text)
+        at += len(text)
+    anchor, least, most, size, offset = (np.concatenate(x) for x in zip(*tables))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    del texts
+    pack = np.repeat(np.array(packs), [len(t[0]) for t in tables])
+    order = np.argsort(anchor, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]]))
+    # Whole anchors, about AT_ONCE bytes together.
+    run = np.add.reduceat(size[order], heads).cumsum() // AT_ONCE
+    cuts = np.append(heads[np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))], len(order))
+    found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    for lo, hi in zip(cuts, cuts[1:]):
+        rows = order[lo:hi]
+        own, k = spread(size[rows])
+        part = data[offset[rows][own] + k]
+        n, begin = size[rows], np.cumsum(size[rows]) - size[rows]
+        low, high = _keys(part, begin, n)
+        by = np.lexsort((high, low, anchor[rows]))
+        new = np.concatenate([[True], (anchor[rows][by][1:] != anchor[rows][by][:-1]) | (low[by][1:] != low[by][:-1]) | (high[by][1:] != high[by][:-1])])
+        one = by[new]
+        doc = np.minimum.reduceat(least[rows][by], np.flatnonzero(new))
+        by_window = least_by_window(part, begin[one], n[one], anchor[rows][one], doc)
+        windows = n[one] - LENGTH + 1
+        where = np.cumsum(windows) - windows
+        smallest = np.minimum.reduceat(by_window, where)
+        which = np.empty(len(rows), np.int64)
+        which[by] = np.cumsum(new) - 1
+        late = np.flatnonzero(smallest[which] < most[rows])
+        late = late[np.argsort(pack[rows][late], kind="stable")]
+        own, k = spread(windows[which[late]])
+        flat = by_window[where[which[late]][own] + k]
+        ends = np.cumsum(windows[which[late]])
+        for p in np.unique(pack[rows][late]).tolist():
+            a, b = np.searchsorted(pack[rows][late], [p, p + 1])
+            mine = late[a:b]
+            found.setdefault(p, []).append((anchor[rows][mine] >> np.uint64(1), low[mine], high[mine], windows[which[mine]], flat[ends[a - 1] if a else 0 : ends[b - 1]]))
     out = {}
-    for p, rows in asked.items():
-        late = [(a >> 1, _key(x), found[a, x]) for a, x, _, hi in rows if min(found[a, x]) < hi]
-        if late:
-            late.sort(key=lambda r: r[0])
-            anchor, low, high = (np.array([f(r) for r in late], "<u8") for f in (lambda r: r[0], lambda r: r[1] & ((1 << 64) - 1), lambda r: r[1] >> 64))
-            table = pressed(anchor, low, high, np.array([len(r[2]) for r in late], "<u4"))
-            flat = pressed(np.array([0] + [d for r in late for d in r[2]], "<i8"))
-            out[p] = len(table).to_bytes(8, "little") + table + flat
+    for p, parts in found.items():
+        anchors, low, high, sizes, flat = (np.concatenate(x) for x in zip(*parts))
+        table = pressed(anchors, low, high, sizes.astype(np.uint32))
+        out[p] = len(table).to_bytes(8, "little") + table + pressed(np.concatenate([[0], flat]))
     return out
 
 
@@ -207,43 +336,49 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 found = [(b, p, pressed(x)) for b, (x,) in bucketed(keys, n)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], ["bucket", "pack", "blob"])
+        released()
 
     asked = "bucket long, pack long, blob binary"
     shared = exchange(packs.select("pack", "blob").mapInArrow(seeds, asked), _shared)
 
     def send(p: int, pack: Pack, blobs: list[bytes]) -> pa.Table:
         (wanted,) = _gathered(blobs, "<u8")
-        held: dict[tuple[int, bytes], list[int]] = {}
-        ids = pack.ids.tolist()
-        for a, d, _, x in Strings(pack, bits).segments(pack, wanted):
-            span = held.setdefault((a, x), [ids[d], ids[d]])
-            span[0], span[1] = min(span[0], ids[d]), max(span[1], ids[d])
-        rows = sorted((a, x, lo, hi) for (a, x), (lo, hi) in held.items())
-        cuts = bucketed(np.array([r[0] for r in rows], np.uint64), n, np.arange(len(rows)))
-        found = [(b, p, _packed_segments([rows[k] for k in at.tolist()])) for b, (_, at) in cuts]
+        data = np.frombuffer(pack.data, np.uint8)
+        anchor, text, first, size = Strings(pack, bits).segments(wanted)
+        found = []
+        if len(anchor):
+            low, high = _keys(data, first, size)
+            order = np.lexsort((high, low, anchor))
+            a, x, y = anchor[order], low[order], high[order]
+            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+            ids = pack.ids[text[order]]
+            least, most, one = np.minimum.reduceat(ids, new), np.maximum.reduceat(ids, new), order[new]
+            for b, (mine, at) in bucketed(a[new], n, np.arange(len(new))):
+                own, k = spread(size[one[at]])
+                found.append((b, p, _packed_segments(mine, least[at], most[at], size[one[at]], data[first[one[at]][own] + k].tobytes())))
         cols = list(zip(*found)) or [(), (), ()]
         return pa.table({"bucket": pa.array(cols[0], pa.int64()), "pack": pa.array(cols[1], pa.int64()), "blob": pa.array(cols[2], pa.binary())})
 
     least = exchange(with_answers(packs, shared, send, asked), _answers)
 
     def remove(p: int, pack: Pack, blobs: list[bytes]) -> pa.Table:
-        strings = Strings(pack, bits)
-        known: dict[int, np.ndarray] = {}
-        anchors = np.zeros(0, np.uint64)
+        edge, tables, flats = np.zeros(len(pack.data) + LENGTH + 1, np.int32), [], []
         for blob in blobs:
             cut = 8 + int.from_bytes(blob[:8], "little")
-            anchor, low, high, sizes = unpressed(blob[8:cut], "<u8", "<u8", "<u8", "<u4")
-            anchors = np.concatenate([anchors, anchor])
-            flat = unpressed(blob[cut:], "<i8")[0][1:]
-            for a, b, s, e in zip(low.tolist(), high.tolist(), sizes.tolist(), np.cumsum(sizes.astype(np.int64)).tolist()):
-                known[a | b << 64] = flat[e - s : e]
-        edge = np.zeros(len(pack.data) + LENGTH + 1, np.int32)
-        if known:
-            for _, d, first, x in strings.segments(pack, np.unique(anchors)):
-                if (mins := known.get(_key(x))) is not None:
-                    late = first + np.flatnonzero(mins < pack.ids[d])
-                    edge[late] += 1
-                    edge[late + LENGTH] -= 1
+            tables.append(unpressed(blob[8:cut], "<u8", "<u8", "<u8", "<u4"))
+            flats.append(unpressed(blob[cut:], "<i8")[0][1:])
+        if tables:
+            anchors, low, high, sizes = (np.concatenate(x) for x in zip(*tables))
+            sizes, least = sizes.astype(np.int64), np.concatenate(flats)
+            _, text, first, size = Strings(pack, bits).segments(np.unique(anchors))
+            x, y = _keys(np.frombuffer(pack.data, np.uint8), first, size)
+            order = np.lexsort((high, low))
+            at = order[np.minimum(np.searchsorted(low[order], x), len(order) - 1)]
+            known = np.flatnonzero((low[at] == x) & (high[at] == y))
+            own, k = spread(sizes[at[known]])
+            mins = least[(np.cumsum(sizes) - sizes)[at[known]][own] + k]
+            late = (first[known][own] + k)[mins < pack.ids[text[known]][own]]
+            edge += np.bincount(late, minlength=len(edge)).astype(np.int32) - np.bincount(late + LENGTH, minlength=len(edge)).astype(np.int32)
         gone = np.cumsum(edge)[: len(pack.data)] > 0
         data, rows = np.frombuffer(pack.data, np.uint8), []
         for a, b in zip(pack.starts, pack.starts[1:] - 1):

@@ -140,6 +140,26 @@ def test_suffix_arrays():
         assert suffix_dedup.grouped_suffixes(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_suffix_arrays_side_by_side():
+    rng = random.Random(2)
+    strings = [[rng.randint(1, rng.choice([1, 2, 4])) for _ in range(rng.randint(0, 60))] + [0] for _ in range(400)] + [[1] * 200 + [0], [1, 2] * 90 + [0]]
+    cuts = np.cumsum([0, *map(len, strings)])
+    want = [a + i for a, s in zip(cuts.tolist(), strings) for i in sorted(range(len(s)), key=lambda i: s[i:])]
+    assert suffix_dedup.grouped_suffixes_of(np.concatenate(strings), cuts).tolist() == want
+
+
+def test_least_document_of_each_window(monkeypatch):
+    rng = random.Random(5)
+    segments = sorted({(rng.randint(0, 5), bytes(rng.choice(b"ab") for _ in range(rng.randint(4, 30)))) for _ in range(60)} | {(9, b"alone")})
+    size = np.array([len(x) for _, x in segments])
+    doc = np.array([rng.randint(0, 20) for _ in segments])
+    data, offset, anchor = np.frombuffer(b"".join(x for _, x in segments), np.uint8), np.cumsum(size) - size, np.array([a for a, _ in segments])
+    want = [min(d for (b, y), d in zip(segments, doc.tolist()) if a == b and x[k : k + 4] in y) for a, x in segments for k in range(len(x) - 3)]
+    for long in (1 << 13, 100):
+        monkeypatch.setattr(suffix_dedup, "LONG", long)
+        assert suffix_dedup.least_by_window(data, offset, size, anchor, doc, 4).tolist() == want
+
+
 def test_suffix_dedup(docs, empty):
     got, seen = by_id(suffix_dedup.remove_repeats(docs)), set()
     for k, t in corpus():
