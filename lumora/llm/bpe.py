@@ -17,13 +17,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from lumora.llm.common import documents, id_and_text
+from lumora.llm.packs import released
 
 #: White_Space in the sense of Unicode, as the tokenizer's patterns understand it.
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Texts of these characters only need no Unicode normalisation and have a stable letter classification.
 PLAIN = regex.compile(r"[\x00-\x1B\x20-ɏ‐-‧]*+\Z")
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
-CHUNK, CACHE_WORDS, CACHE_JOINS, NEVER = 10_000, 400_000, 300_000, float("inf")
+CHUNK, CACHE_WORDS, CACHE_JOINS, NEVER = 10_000, 300_000, 200_000, float("inf")
 #: Marks that are no letters, digits or apostrophes; what stands before them in a run is split alone.
 MARKS = ".,;:!?#$%&*+-/<=>@^_|~()[]{}\"`\\"
 END = "</w>"
@@ -197,6 +198,11 @@ class WordBpe:
         known = self.known
         self.runs.update((r, known[ws[0]] if len(ws) == 1 else " ".join([known[w] for w in ws])) for r, ws in split.items())
 
+    def forget(self) -> None:
+        """Empties the caches: a worker process goes on to other stages, which need the memory."""
+        for held in (self.runs, self.known, self.joins):
+            held.clear()
+
     def encode(self, texts: list[str]) -> list[str]:
         """The ids of each text in decimal, joined by spaces. Strings of special tokens give their ids."""
         parts = [self.special.split(t) if self.special and "<|" in t else [t] for t in texts]
@@ -271,6 +277,8 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFra
                     *([pa.array(ids), pa.array(back)] if with_ids else []),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(cols)])
+        bpe.forget()
+        released()
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}"
     return id_and_text(docs).mapInArrow(run, schema)

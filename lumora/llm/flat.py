@@ -9,7 +9,7 @@ import pyarrow as pa
 
 from lumora.llm.packs import BASE1, BASE2, BYTES1, MIX2, mixed, powers, window_hashes
 
-PIECE_BYTES, PIECE_ROWS = 1 << 20, 1 << 14
+PIECE_BYTES, PIECE_ROWS = 1 << 18, 1 << 14
 SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from lumora.llm.common import commonest, documents, written
 from lumora.llm.components import components
 from lumora.llm.flat import SPACES
-from lumora.llm.packs import BASE1, BASE2, BYTES1, MIX2, NO_ID, Pack, bucketed, mixed, packed, powers, pressed, unpressed, window_hashes, with_answers
+from lumora.llm.packs import BASE1, BASE2, BYTES1, MIX2, NO_ID, Pack, bucketed, mixed, packed, powers, pressed, released, unpressed, window_hashes, with_answers
 
 #: A document set's prefix order puts n-grams of HEAVY documents and more last; at most HEAVY_KEPT of these are told apart.
-HEAVY, HEAVY_KEPT, TOGETHER, AT_ONCE = 64, 1 << 16, 512, 1 << 20
-FRAGMENT_BYTES, SKETCH, HUBS, TRIED, ROUNDS = 64 << 20, 512, 4, 2, 2
+HEAVY, HEAVY_KEPT, TOGETHER, AT_ONCE = 64, 1 << 16, 512, 1 << 18
+FRAGMENT_BYTES, SKETCH, HUBS, TRIED, ROUNDS = 32 << 20, 512, 4, 2, 2
 
 
 def gram_sets(texts: bytes, starts: np.ndarray, n: int) -> list[np.ndarray]:
@@ -262,6 +262,7 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, more: str | N
                 grams = pa.StructArray.from_arrays([pa.array(every[common].astype(np.int64)), pa.array(times[common], pa.int64())], ["gram", "c"])
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (rows, grams)]
                 yield pa.RecordBatch.from_arrays(lists, ["docs", "grams"])
+        released()
 
     told = written(packs.select("pack", "blob").mapInArrow(describe, "docs array<struct<node: long, doc_id: long, n: long, sig: long, sketch: binary>>, grams array<struct<gram: long, c: long>>"), "told")
     rows, sketches = told.select(F.inline("docs")).drop("sketch"), told.select(F.inline("docs")).select("node", "sketch")
@@ -304,6 +305,7 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, more: str | N
                     table = pressed(node_of(p, mine.astype(np.int64)), np.array([of[x][0] for x in mine.tolist()], np.int64), np.array([of[x][1] for x in mine.tolist()], np.uint32), np.stack([of[x][2] for x in mine.tolist()]).view(f"V{SKETCH // 8}").ravel())
                     out.append((b, len(first).to_bytes(8, "little") + first + table))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.binary())], ["fragment", "blob"])
+        released()
 
     def lists(table: pa.Table) -> pa.Table:
         key, i, node, n, sketches = _postings(table.column("blob").to_pylist())
@@ -319,6 +321,7 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, more: str | N
             hub[left[near]] = node[i[head[near]]]
             left = left[~new & ~near]
         hubs = pa.array(hub, pa.int64(), mask=hub < 0)
+        released()
         return pa.table({"key": pa.array(key.astype(np.int64)), "node": pa.array(node[i], pa.int64()), "n": pa.array(n[i], pa.int64()), "hub": hubs})
 
     posted = packs.select("pack", "blob").mapInArrow(post, "fragment long, blob binary")
@@ -340,6 +343,7 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, more: str | N
         keep = (c + np.minimum(at.elsewhere[x], at.elsewhere[y]) + rest) * (100 + percent) >= percent * (size[x] + size[y])
         x, y, c = x[keep], y[keep], c[keep]
         x, y = np.where(node[x] < node[y], y, x), np.where(node[x] < node[y], x, y)
+        released()
         return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("a", "b", "a_n", "b_n", "c"), (node[x], node[y], size[x], size[y], c))})
 
     near, labelled = None, listed.select("key", "node", "n", F.col("node").alias("label"))

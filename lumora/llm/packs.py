@@ -7,6 +7,7 @@ third of all documents hold reaches its bucket once for each pack, not once for
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +19,16 @@ from pyspark.sql import functions as F
 
 from lumora.llm.common import written
 
+_LIBC = ctypes.CDLL(None)
+
+
+def released() -> None:
+    """Gives freed memory back to the system: worker processes stay, and several of them share one executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 PACK_BYTES, BUCKET_BYTES = 3 << 19, 32 << 20
 #: Stands for a null doc_id, which is thereby greater than all others.
 NO_ID = (1 << 63) - 1
@@ -136,6 +147,8 @@ def packed(docs: DataFrame, more: str | None = None) -> DataFrame:
                 size += len(text) + 1
         if ids:
             yield out()
+        ids, texts, extra = [], [], []
+        released()
 
     return written(rows.mapInArrow(run, "pack long, n_bytes long, blob binary"), "packs")
 
@@ -158,6 +171,7 @@ def exchange(asked: DataFrame, answer: Callable[[list[int], list[bytes]], dict[i
 
     def run(table: pa.Table) -> pa.Table:
         got = answer(table.column("pack").to_pylist(), table.column("blob").to_pylist())
+        released()
         return pa.table({"pack": pa.array(list(got), pa.int64()), "blob": pa.array(list(got.values()), pa.binary())})
 
     return asked.groupBy("bucket").applyInArrow(run, "pack long, blob binary")
@@ -169,7 +183,7 @@ def with_answers(packs: DataFrame, answers: DataFrame, run: Callable[[int, Pack,
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         blobs = right.column("blob").to_pylist()
         out = pa.concat_tables([run(p, Pack.open(b), blobs) for p, b in zip(left.column("pack").to_pylist(), left.column("blob").to_pylist())])
-        pa.default_memory_pool().release_unused()
+        released()
         return out
 
     return packs.select("pack", "blob").groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(both, schema)
@@ -198,6 +212,7 @@ def rows_of(packs: DataFrame, nodes: DataFrame) -> DataFrame:
     wanted = nodes.groupBy(F.shiftright("node", 23).alias("pack")).agg(F.collect_list(F.col("node").bitwiseAND((1 << 23) - 1)).alias("at"))
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        released()
         at = sorted(k for part in right.column("at").to_pylist() for k in part)
         ids, texts, more = [], [], []
         for blob in left.column("blob").to_pylist() if at else ():

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lumora.llm.common import documents, id_and_text, written
 from lumora.llm.flat import Texts, flat, pieces_of, span_hashes
-from lumora.llm.packs import MIX2, mixed
+from lumora.llm.packs import MIX2, mixed, released
 from lumora.llm.quality_rules import STOP_WORDS, WINDOW
 
 #: Documents whose posterior trains the scorer (in expectation); the only bounded sample here.
@@ -190,6 +190,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
         seen = np.flatnonzero(held)
         none = [pa.nulls(len(seen), t) for t in (pa.int64(), pa.binary(), pa.binary())]
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(held[seen]), *none], names)
+        released()
 
     looked = written(drawn.mapInArrow(look, "pattern long, n long, draw long, at binary, x binary"), "votes")
     patterns = {r.pattern: r.n for r in looked.filter("at IS NULL").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
@@ -235,6 +236,7 @@ def without_rejected(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP)
     def run(batches, at=docs.columns.index("text")):
         for batch in batches:
             yield batch.filter(pa.array(probabilities(batch.column(at).fill_null(""), *shared.value) >= keep, pa.bool_()))
+        released()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lumora.llm.common import documents
 from lumora.llm.flat import SPACES
-from lumora.llm.packs import BASE1, BASE2, BYTES1, MIX1, MIX2, NO_ID, Pack, bucketed, buckets_for, exchange, mixed, packed, powers, pressed, sliding, unpressed, window_hashes, with_answers
+from lumora.llm.packs import BASE1, BASE2, BYTES1, MIX1, MIX2, NO_ID, Pack, bucketed, buckets_for, exchange, mixed, packed, powers, pressed, released, sliding, unpressed, window_hashes, with_answers
 
 WINDOW, ANCHOR = 13, 5
 REACH = WINDOW - ANCHOR + 1
@@ -140,6 +140,7 @@ def remove_repeats(docs: DataFrame, more: str | None = None) -> DataFrame:
                 found = [(b, p, pressed(x)) for b, (x,) in bucketed(keys, n)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], ["bucket", "pack", "blob"])
+        released()
 
     asked = "bucket long, pack long, blob binary"
     shared = exchange(packs.select("pack", "blob").mapInArrow(seeds, asked), _shared)
