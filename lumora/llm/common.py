@@ -17,8 +17,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows of texts that go to a Python worker at once, where the session does not say otherwise.
+ROWS_AT_ONCE = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: Spark's usual 10 000 rows of them fill tens of megabytes in the executor and in each worker. A value
+    that the user has set is kept."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, ROWS_AT_ONCE)
+
+
 def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     """The id, the text (null: empty) and the named columns; all else in `docs` is left behind."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm.common import documents
+from lumora.llm.common import documents, small_batches
 
 #: Allowed word edits for each item word; items of fewer words than LEAST match as whole sequences, without edits.
 TOLERANCE, LEAST = 0.2, 5
@@ -77,26 +77,29 @@ class Block:
         self.lengths: dict[int, list[int]] = defaultdict(list)
         for k, (_, s, _) in enumerate(self.items):
             self.lengths[len(s)].append(k)
+        # steps[j >> 6] holds 64 steps, from j on, of each walk and symbol as bits; walks over shorter items take the first
+        # of the same steps. The symbol behind a window has none.
         rng = np.random.default_rng(5)
+        turns = -(-3 * max(self.lengths, default=0) // 64)
+        self.steps = rng.integers(0, 1 << 64, (turns, WALKS, self.size + 1), np.uint64)
+        self.steps[:, :, self.size] = 0
+        self.steps = self.steps.reshape(turns, WALKS * (self.size + 1))
         self.tables = {}
         for n, ks in self.lengths.items():
             edits = int(tolerance * n)
-            steps = rng.integers(0, 2, (WALKS, 3 * n, self.size + 1), np.int8)
-            steps[:, :, self.size] = 0
-            steps = np.ascontiguousarray(steps.transpose(1, 0, 2)).reshape(3 * n, -1)
             # The Hamming distance of the outputs is taken as six times the edit distance.
             same = max(0.1, 1 - 6 * edits / (3 * n)) ** SAMPLED
             turns = ceil(log(1 - RECALL) / log(1 - same)) if same < 1 else 1
             draws = [(t % WALKS, np.sort(rng.choice(3 * n, min(SAMPLED, 3 * n), replace=False))) for t in range(turns)]
             symbols = np.array([self.items[k][1] for k in ks])
-            outs = self.embed(symbols, steps)
+            outs = self.embed(symbols)
             tables = []
             for w, at in draws:
                 table = defaultdict(list)
                 for k, key in zip(ks, self.keys(outs[:, w], at)):
                     table[key].append(k)
                 tables.append((w, at, dict(table)))
-            self.tables[n] = steps, tables
+            self.tables[n] = tables
 
     def trie(self, short: list[tuple[int, list[int]]]) -> tuple[list, dict[int, list[int]]]:
         """Of each level the sorted codes state * size + symbol and the states they lead to; the items that end in a state."""
@@ -113,7 +116,7 @@ class Block:
             ends[state].append(item)
         return [(np.array(sorted(level)), np.array([level[c] for c in sorted(level)])) for level in steps], dict(ends)
 
-    def embed(self, windows: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    def embed(self, windows: np.ndarray) -> np.ndarray:
         """CGK: output j is the symbol at the walk's place, which then moves on or stays by a random bit of (j, symbol).
 
         All walks go together; the result is by output, walk and window. The symbol behind a window has no step, so that a
@@ -124,7 +127,7 @@ class Block:
         own = np.arange(WALKS)[:, None] * (self.size + 1)
         for j in range(3 * n):
             flat.take(at, out=out[j], mode="clip")
-            at += steps[j].take(out[j] + own)
+            at += ((self.steps[j >> 6].take(out[j] + own) >> np.uint64(j & 63)) & np.uint64(1)).astype(np.int64)
         return out
 
     def keys(self, out: np.ndarray, at: np.ndarray) -> list[int]:
@@ -201,13 +204,13 @@ class Block:
                     wanted[n].update(range(max(0, last - n + 2), first + 1))
         places: dict[int, list[int]] = defaultdict(list)
         for n, all_starts in wanted.items():
-            steps, tables = self.tables[n]
+            tables = self.tables[n]
             starts = np.array(sorted(all_starts))
             full = np.concatenate([x, np.zeros(n, np.int64)])
             for lo in range(0, len(starts), 4096):
                 some = starts[lo : lo + 4096]
                 windows = full[some[:, None] + np.arange(n)]
-                outs = self.embed(windows, steps)
+                outs = self.embed(windows)
                 for w, drawn, table in tables:
                     for s, key in zip(some.tolist(), self.keys(outs[:, w], drawn)):
                         for k in table.get(key, ()):
@@ -251,6 +254,7 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
     """The items in blocks of about `block_bytes`, one at a time on the driver; null texts are no items."""
+    small_batches(benchmark.sparkSession)
     items = benchmark.select("item_id", "text").filter("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))

@@ -52,6 +52,16 @@ def gram_sets(texts: bytes, starts: np.ndarray, n: int) -> list[np.ndarray]:
     return out
 
 
+def sets_of(pack: Pack, n: int, limit: int = 1 << 19) -> list[np.ndarray]:
+    """The n-gram sets of a pack's texts, some texts at a time."""
+    out, lo = [], 0
+    while lo < len(pack.ids):
+        hi = max(lo + 1, int(np.searchsorted(pack.starts, pack.starts[lo] + limit, "right")) - 1)
+        out += gram_sets(pack.data[pack.starts[lo] : pack.starts[hi]], pack.starts[lo : hi + 1] - pack.starts[lo], n)
+        lo = hi
+    return out
+
+
 def signature(grams: np.ndarray) -> int:
     return int(mixed(np.array([mixed(grams, MIX2).sum(dtype=np.uint64) + np.uint64(len(grams))]))[0].astype(np.int64))
 
@@ -253,7 +263,7 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, more: str | N
         for batch in batches:
             for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 pack = Pack.open(blob)
-                sets = gram_sets(pack.data, pack.starts, n)
+                sets = sets_of(pack, n)
                 every, times = np.unique(np.concatenate(sets), return_counts=True)
                 common = times > 1
                 about = np.array([len(s) for s in sets]), np.array([signature(s) for s in sets], np.int64)
@@ -279,7 +289,7 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, more: str | N
             for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 pack = Pack.open(blob)
                 seen, keys, docs = {}, [], []
-                for k, s in enumerate(gram_sets(pack.data, pack.starts, n)):
+                for k, s in enumerate(sets_of(pack, n)):
                     sig = signature(s)
                     if not len(s) or sig in seen:
                         continue

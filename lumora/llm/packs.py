@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm.common import written
+from lumora.llm.common import small_batches, written
 
 _LIBC = ctypes.CDLL(None)
 
@@ -126,6 +126,7 @@ class Pack:
 
 def packed(docs: DataFrame, more: str | None = None) -> DataFrame:
     """The written packs (pack, n_bytes, blob) of `docs` with doc_id and text, and of the string column `more`."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary"), (F.col(more) if more else F.lit("")).cast("binary"))
 
     def run(batches):

@@ -1,6 +1,7 @@
 """Each operator on a small table with nulls, empty, long, equal and repeated texts, and columns whose names clash."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -98,6 +99,40 @@ def test_decontamination_of_marks_and_short_items(spark):
     assert {tuple(r) for r in found} == {(0, 0, 2, 11, 0), (1, 1, 1, 7, 0), (2, 2, 1, 2, 0), (4, 3, 1, 1, 0), (6, 4, 0, 2, 0)}
 
 
+def edited(words, edits, rng):
+    words = list(words)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(words)), rng.random()
+        if kind < 0.4:
+            words[at] = f"zz{rng.randrange(99)}"
+        elif kind < 0.7 and len(words) > 2:
+            del words[at]
+        else:
+            words.insert(at, f"zz{rng.randrange(99)}")
+    return words
+
+
+def test_decontamination_recall_against_exhaustive_search():
+    rng = random.Random(1)
+    vocab = [f"w{k}" for k in range(400)]
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(n))) for k, n in enumerate([5, 8, 12, 20, 40] * 6)]
+    block, wanted, found = decontamination.Block(items), set(), set()
+    for t in range(120):
+        words = items[t % 30][1].split()
+        middle = edited(words, int(0.2 * len(words)) + t % 2, rng)
+        text = [rng.choice(vocab) for _ in range(30)] + middle + [rng.choice(vocab) for _ in range(30)]
+        x = block.symbols(text)
+        wanted |= {(t, k) for k, s, edits in block.items if decontamination.align(s, x)[0] <= edits}
+        found |= {(t, f[0]) for f in block.find(" ".join(text))}
+    assert found <= wanted and len(found) >= 0.99 * len(wanted) and len(wanted) > 60
+
+
+def test_decontamination_tables_stay_small():
+    rng = random.Random(2)
+    items = [(k, " ".join(f"w{rng.randrange(20000)}" for _ in range(5 + k * 394 // 299))) for k in range(300)]
+    assert len(pickle.dumps(decontamination.Block(items))) < 100_000_000
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard_documents(docs, shards=4).collect()
     sizes = Counter(r.shard for r in rows)
