@@ -69,7 +69,6 @@ class WordBpe:
         self.text = {i: str(i) for i in vocab.values()}
         self.joins: dict[tuple[int, int], bool] = {}
         self.built: dict[int, tuple | None] = {}
-        self.known: dict[str, str] = {}
         self.runs: dict[str, str] = {}
 
     @staticmethod
@@ -170,17 +169,17 @@ class WordBpe:
                     stack.append((child, prefix + c))
 
     def split(self, run: str) -> list[str]:
-        """The words of a lower-case run of plain characters without white space."""
+        """The words of a lower-case run of plain characters without white space, as keys of `runs`."""
         word = run.rstrip(MARKS)
         if word.isalpha():
             words = [run] if len(word) == len(run) else [word, run[len(word) :]]
         else:
             words = WORDS.findall(run)
-        return words if run.isascii() else [w if w.isascii() else w.encode().decode("latin-1") for w in words]
+        return words if run.isascii() else [w if w.isascii() else " " + w.encode().decode("latin-1") for w in words]
 
     def runs_of(self, text: str) -> list[str]:
         """What a text without special tokens consists of, as keys of `runs`: no word crosses white space. Texts beyond
-        the plain characters are normalised and split by the library; their words are marked by a leading space."""
+        the plain characters are normalised and split by the library. A leading space marks a word in bytes."""
         if PLAIN.match(text):
             return text.lower().split()
         normal = self.library.normalizer.normalize_str(text)
@@ -190,17 +189,16 @@ class WordBpe:
         """Adds the ids of new runs. A full cache keeps only what these texts use, so its size is bounded."""
         if len(self.runs) > CACHE_WORDS:
             self.runs = {r: self.runs[r] for r in runs if r in self.runs}
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        split = {r: [r[1:]] if r[0] == " " else self.split(r) for r in runs if r not in self.runs}
-        new = {w for ws in split.values() for w in ws}
-        self.known.update(self.encode_words(new.difference(self.known)))
-        known = self.known
-        self.runs.update((r, known[ws[0]] if len(ws) == 1 else " ".join([known[w] for w in ws])) for r, ws in split.items())
+        split = {r: [r] if r[0] == " " else self.split(r) for r in runs if r not in self.runs}
+        new = {w: w[1:] if w[0] == " " else w for ws in split.values() for w in ws if w not in self.runs}
+        coded = self.encode_words(set(new.values()))
+        self.runs.update((key, coded[w]) for key, w in new.items())
+        known = self.runs
+        self.runs.update([(r, " ".join([known[w] for w in ws])) for r, ws in split.items() if ws[0] != r])
 
     def forget(self) -> None:
         """Empties the caches: a worker process goes on to other stages, which need the memory."""
-        for held in (self.runs, self.known, self.joins):
+        for held in (self.runs, self.joins):
             held.clear()
 
     def encode(self, texts: list[str]) -> list[str]:
