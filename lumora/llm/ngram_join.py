@@ -173,20 +173,28 @@ def _nearest_hubs(packs: DataFrame, candidates: DataFrame, n: int, percent: int)
 
 
 def _labelled(listed: DataFrame, links: DataFrame) -> DataFrame:
-    return listed.select("key", "node", "n").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return listed.select("part", "key", "node").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 class Crossing:
     """The lists of one fragment whose nodes are not all of one component: postings (key, i) by key and i, where i numbers
     the sets by label and node."""
 
-    def __init__(self, postings: pa.Table, described: pa.Table):
-        node, n, label, here, listed = (described.column(c).to_numpy() for c in ("node", "n", "label", "here", "listed"))
-        order = np.lexsort((node, label))
-        self.node, self.n, self.label, self.elsewhere = node[order], n[order], label[order], (listed - here)[order]
-        self.sketches = np.frombuffer(b"".join(described.column("sketch").to_pylist()), "<u8").reshape(len(node), -1)[order]
-        by_node = np.argsort(self.node)
-        key, i = postings.column("key").to_numpy(), by_node[np.searchsorted(self.node, postings.column("node").to_numpy(), sorter=by_node)]
+    def __init__(self, postings: pa.Table, described: pa.Table, percent: int):
+        key, node, label = (postings.column(c).to_numpy() for c in ("key", "node", "label"))
+        some, first, which, here = np.unique(node, return_index=True, return_inverse=True, return_counts=True)
+        # Sets are numbered by label and node.
+        order = np.lexsort((some, label[first]))
+        self.node, self.label = some[order], label[first][order]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        found = described.column("node").to_numpy()
+        by = np.argsort(found)
+        at = by[np.searchsorted(found, self.node, sorter=by)] if len(by) else by
+        self.n = described.column("n").to_numpy()[at]
+        self.sketches = np.frombuffer(b"".join(described.column("sketch").take(pa.array(at)).to_pylist()), "<u8").reshape(len(at), SKETCH // 64)
+        self.elsewhere = prefix_size(self.n, percent) - here[order]
+        i = number[which]
         order = np.lexsort((i, key))
         self.key, self.i = key[order], i[order]
 
@@ -236,14 +244,10 @@ class Crossing:
         return tuple(merged().T)
 
 
-def _crossing(labelled: DataFrame, sketches: DataFrame, fragments: int) -> tuple[DataFrame, DataFrame]:
-    """The postings (part, key, node) of lists with several labels, and what is known of the nodes in each part."""
+def _crossing(labelled: DataFrame) -> DataFrame:
+    """The postings (part, key, node, label) of lists with several labels."""
     mixed_lists = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    crossing = written(labelled.join(mixed_lists.select("key"), "key").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(fragments))), "crossing")
-    total = crossing.groupBy("node").agg(F.count("*").alias("listed"))
-    here = crossing.groupBy("part", "node").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.count("*").alias("here"))
-    about = written(here.join(total, "node").join(sketches, "node"), "about")
-    return crossing.select("part", "key", "node"), about
+    return written(labelled.join(mixed_lists.select("key"), "key"), "crossing")
 
 
 def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, more: str | None = None, every: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -267,15 +271,14 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, more: str | N
                 every, times = np.unique(np.concatenate(sets), return_counts=True)
                 common = times > 1
                 about = np.array([len(s) for s in sets]), np.array([signature(s) for s in sets], np.int64)
-                odd = pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary())
-                rows = pa.StructArray.from_arrays([*[pa.array(x, pa.int64()) for x in (node_of(p, np.arange(len(sets))), pack.ids, *about)], odd], ["node", "doc_id", "n", "sig", "sketch"])
+                rows = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (node_of(p, np.arange(len(sets))), pack.ids, *about)], ["node", "doc_id", "n", "sig"])
                 grams = pa.StructArray.from_arrays([pa.array(every[common].astype(np.int64)), pa.array(times[common], pa.int64())], ["gram", "c"])
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (rows, grams)]
                 yield pa.RecordBatch.from_arrays(lists, ["docs", "grams"])
         released()
 
-    told = written(packs.select("pack", "blob").mapInArrow(describe, "docs array<struct<node: long, doc_id: long, n: long, sig: long, sketch: binary>>, grams array<struct<gram: long, c: long>>"), "told")
-    rows, sketches = told.select(F.inline("docs")).drop("sketch"), told.select(F.inline("docs")).select("node", "sketch")
+    told = written(packs.select("pack", "blob").mapInArrow(describe, "docs array<struct<node: long, doc_id: long, n: long, sig: long>>, grams array<struct<gram: long, c: long>>"), "told")
+    rows = told.select(F.inline("docs"))
     common = told.select(F.inline("grams")).groupBy("gram").agg(F.sum("c").alias("c")).filter(F.col("c") >= HEAVY)
     heavy = commonest(common, "gram", "c", HEAVY_KEPT).collect()
     grams = np.array([r.gram for r in heavy], np.int64).astype(np.uint64)
@@ -332,23 +335,28 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, more: str | N
             left = left[~new & ~near]
         hubs = pa.array(hub, pa.int64(), mask=hub < 0)
         released()
-        return pa.table({"key": pa.array(key.astype(np.int64)), "node": pa.array(node[i], pa.int64()), "n": pa.array(n[i], pa.int64()), "hub": hubs})
+        sets = np.unique(i)
+        none, part = pa.nulls(len(sets), pa.int64()), pa.array([table.column("fragment")[0].as_py()] * (len(i) + len(sets)), pa.int64())
+        both = lambda a, b: pa.chunked_array([a, b])
+        cols = {"key": both(pa.array(key.astype(np.int64)), none), "node": both(pa.array(node[i]), pa.array(node[sets])), "n": both(pa.array(n[i]), pa.array(n[sets])), "hub": both(hubs, none)}
+        return pa.table({"part": part, **cols, "sketch": both(pa.nulls(len(i), pa.binary()), pa.array([x.tobytes() for x in sketches[sets]], pa.binary()))})
 
     posted = packs.select("pack", "blob").mapInArrow(post, "fragment long, blob binary")
-    listed = written(posted.groupBy("fragment").applyInArrow(lists, "key long, node long, n long, hub long"), "lists")
+    both = written(posted.groupBy("fragment").applyInArrow(lists, "part long, key long, node long, n long, hub long, sketch binary"), "lists")
+    listed, about = both.filter("sketch IS NULL").drop("sketch"), both.filter("sketch IS NOT NULL").select("part", "node", "n", "sketch")
 
     def more_hubs(table: pa.Table, described: pa.Table) -> pa.Table:
-        at = Crossing(table, described)
+        at = Crossing(table, described, percent)
         i, hub = at.hubs(percent)
         pair, c = np.unique(i * max(len(at.node), 1) + hub, return_counts=True)
         i, hub = pair // max(len(at.node), 1), pair % max(len(at.node), 1)
         return pa.table({"node": pa.array(at.node[i], pa.int64()), "hub": pa.array(at.node[hub], pa.int64()), "c": pa.array(c, pa.int64())})
 
     def pairs(table: pa.Table, described: pa.Table) -> pa.Table:
-        at = Crossing(table, described)
+        at = Crossing(table, described, percent)
         node, size = at.node, at.n
         x, y, c = at.pairs(percent)
-        # What a pair can share in other fragments is bounded by the lists of either that lie there.
+        # What a pair can share in other fragments is bounded by what the prefix of either has there.
         rest = np.maximum(*(size[k] - prefix_size(size[k], percent) for k in (x, y)))
         keep = (c + np.minimum(at.elsewhere[x], at.elsewhere[y]) + rest) * (100 + percent) >= percent * (size[x] + size[y])
         x, y, c = x[keep], y[keep], c[keep]
@@ -356,20 +364,18 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, more: str | N
         released()
         return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("a", "b", "a_n", "b_n", "c"), (node[x], node[y], size[x], size[y], c))})
 
-    near, labelled = None, listed.select("key", "node", "n", F.col("node").alias("label"))
+    near, labelled = None, listed.select("part", "key", "node", F.col("node").alias("label"))
     if not every:
         near = _nearest_hubs(packs, listed.filter("hub IS NOT NULL").select("node", "hub", F.lit(1).alias("c")), n, percent)
         labelled = _labelled(listed, near)
-    labelled = written(labelled, "labelled")
-    crossing, about = _crossing(labelled, sketches, fragments)
+    crossing = _crossing(written(labelled, "labelled"))
     for _ in range(0 if every else ROUNDS):
         found = crossing.groupBy("part").cogroup(about.groupBy("part")).applyInArrow(more_hubs, "node long, hub long, c long")
         more = _nearest_hubs(packs, found, n, percent)
         if more.isEmpty():
             break
         near = near.union(more)
-        labelled = written(_labelled(listed, near), "labelled")
-        crossing, about = _crossing(labelled, sketches, fragments)
+        crossing = _crossing(written(_labelled(listed, near), "labelled"))
     partial = crossing.groupBy("part").cogroup(about.groupBy("part")).applyInArrow(pairs, "a long, b long, a_n long, b_n long, c long")
     summed = partial.groupBy("a", "b", "a_n", "b_n").agg(F.sum("c").alias("c"))
     # Shared n-grams beyond the prefixes lie in the rest of the set whose prefix ends first.
