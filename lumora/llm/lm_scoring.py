@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from zlib import crc32
 
 from lumora.llm.bpe import pieces
-from lumora.llm.common import documents, id_and_text, written
+from lumora.llm.common import commonest, documents, id_and_text, written
 
 END = b""
 FREQUENT, SINGLE, ENDINGS = 1 << 17, 64, 64
@@ -156,8 +156,9 @@ def count_words(rows: DataFrame) -> DataFrame:
             held.clear()
 
         for batch in batches:
-            for text in batch.column(1):
-                held.update(tokens_of(text.as_py()))
+            for some in pieces(texts := batch.column(1).to_pylist()):
+                held.update(" ".join([texts[k] for k in some]).encode().lower().split())
+                held[END] += len(some)
                 if len(held) > DISTINCT_AT_ONCE:
                     yield from flush()
         if held:
@@ -196,7 +197,7 @@ def score_documents(docs: DataFrame, passes: int = PASSES) -> DataFrame:
     counts = written(count_words(learn), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     norm = total + 0.5 * (distinct + 1)
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    top = sorted(commonest(counts, "word", "n", FREQUENT).collect(), key=lambda r: (-r.n, bytes(r.word)))
     index = {bytes(r.word): k for k, r in enumerate(top)}
     log_count = np.log10(np.array([r.n for r in top] + [0] * (FREQUENT - len(top) + ENDINGS)) + 0.5)
     # Classes: the most frequent words alone, the end among them wherever it ranks; the others by ending.
