@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 PROFILES = {
     "clip_only": {"clip": 1.0},
     "clip_tags": {"clip": 0.82, "tag": 0.18},
-    "agent_v3": {"clip": 0.63, "tag": 0.14, "metadata": 0.06, "filename": 0.09, "ocr": 0.03, "relation": 0.05},
+    "full": {"clip": 0.63, "tag": 0.14, "metadata": 0.06, "filename": 0.09, "ocr": 0.03, "relation": 0.05},
 }
 SEASONS = {"spring": (3, 4, 5), "summer": (6, 7, 8), "autumn": (9, 10, 11), "winter": (12, 1, 2)}
 
 
-def weighted(features: dict[str, Column], profile: str = "agent_v3") -> Column:
-    weights = PROFILES.get(profile, PROFILES["agent_v3"])
+def weighted(features: dict[str, Column], profile: str = "full") -> Column:
+    weights = PROFILES.get(profile, PROFILES["full"])
     out = F.lit(0.0)
     for name, weight in weights.items():
         out = out + F.coalesce(features.get(name, F.lit(0.0)), F.lit(0.0)) * weight
@@ -45,7 +45,11 @@ def metadata_match(created: Column, year: Column, months: Column) -> Column:
 
 def query_quality(text: Column, signals: Column) -> Column:
     long = F.when(F.length(text) >= 4, 10).otherwise(0)
-    return F.when(F.length(F.trim(text)) == 0, 0).otherwise(F.least(F.lit(100), 28 + 14 * signals + long))
+    return F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.least(F.lit(100), 28 + 14 * signals + long))
+
+
+def query_level(text: Column, score: Column) -> Column:
+    return F.when(F.coalesce(text, F.lit("")) == "", "empty").otherwise(grade(score, 76, 52))
 
 
 def grade(score: Column, good: int, medium: int) -> Column:

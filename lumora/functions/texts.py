@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accepted text types and the aliases that stand for them.
+#: Accepted text types, the aliases that stand for them, and tags that say nothing.
 TEXT_TYPES = ("ocr", "subtitle_ocr", "asr", "manual_text", "document_text")
 TEXT_TYPE_ALIASES = {"subtitle": "subtitle_ocr", "subtitles": "subtitle_ocr", "document": "document_text", "doc": "document_text", "speech": "asr", "audio": "asr", "whisper": "asr"}
 JUNK_TAGS = ("none", "null", "undefined", "image", "photo")
@@ -18,7 +18,7 @@ def clean_text(text: Column, limit: int = 2000) -> Column:
 
 
 def clean_document_text(text: Column) -> Column:
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
+    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
@@ -30,7 +30,8 @@ def html_unescape(text: Column) -> Column:
 
 
 def strip_tags(html: Column) -> Column:
-    return F.trim(F.regexp_replace(html_unescape(F.regexp_replace(html, "<[^>]+>", " ")), r"[ \t\n\r\f]+", " "))
+    """Tags go without a trace, so what stands around them moves together; then entities are decoded."""
+    return html_unescape(F.regexp_replace(html, "<[^>]+>", ""))
 
 
 def ascii_tokens(text: Column) -> Column:
@@ -42,18 +43,18 @@ def cjk_runs(text: Column, most: int = 20) -> Column:
 
 
 def normalize_text_type(kind: Column) -> Column:
-    plain = F.lower(F.trim(kind))
-    for alias, name in TEXT_TYPE_ALIASES.items():
-        plain = F.when(plain == alias, name).otherwise(plain)
-    return F.when(plain.isin(*TEXT_TYPES), plain).otherwise("ocr")
+    known = F.create_map(*[F.lit(x) for pair in ({t: t for t in TEXT_TYPES} | TEXT_TYPE_ALIASES).items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.lower(F.trim(F.coalesce(kind, F.lit(""))))), F.lit("ocr"))
 
 
 def split_engine(engine: Column) -> tuple[Column, Column]:
-    """`type:engine` -> text type and engine; without a colon all of it is the engine and the type is ocr."""
+    """`type:engine` -> text type and engine; without a colon all of it is the engine. Any type but the five is ocr: aliases
+    are for input, what is stored has none."""
     parts = F.split(F.coalesce(engine, F.lit("")), ":", 2)
     typed = F.size(parts) == 2
     name = F.trim(F.when(typed, F.get(parts, F.lit(1))).otherwise(parts[0]))
-    return normalize_text_type(F.when(typed, parts[0]).otherwise("ocr")), F.when(name == "", "unknown").otherwise(name)
+    kind = F.lower(F.trim(parts[0]))
+    return F.when(typed & kind.isin(*TEXT_TYPES), kind).otherwise("ocr"), F.when(name == "", "unknown").otherwise(name)
 
 
 def compact_text(text: Column, limit: int = 260, least: int = 90) -> Column:
@@ -67,3 +68,17 @@ def compact_text(text: Column, limit: int = 260, least: int = 90) -> Column:
 
 def is_useful_tag(tag: Column) -> Column:
     return F.length(tag).between(2, 40) & ~tag.isin(*JUNK_TAGS)
+
+
+def zero_filled(number: Column, width: int) -> Column:
+    """Zeros before a number up to `width` characters; a longer one stays whole."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+
+
+def unique_texts(texts: Column) -> Column:
+    """An array of texts cleaned, without blanks and without those that equal an earlier one but for case, joined by spaces."""
+    cleaned = F.filter(F.transform(texts, lambda t: clean_text(t)), lambda t: t != "")
+    lower = F.transform(cleaned, F.lower)
+    first = F.filter(cleaned, lambda t, i: F.array_position(lower, F.lower(t)) == i + 1)
+    return F.array_join(first, " ")

@@ -17,6 +17,8 @@ def _kept(df: DataFrame) -> DataFrame:
     if not folder:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not jdir.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumora-"))
         folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
@@ -63,7 +65,7 @@ def non_max_suppression(boxes: Column, iou: float = 0.35, containment: float = 0
 
 def online_clusters(faces: DataFrame, threshold: float) -> DataFrame:
     """Leader clustering of (library, face_id, v) in order of face_id: the nearest centroid at `threshold` or above takes a
-    face and moves to the running mean, else the face opens a cluster. A library is one ordered group."""
+    face and moves to the running mean, made a unit vector again, else the face opens a cluster. A library is one ordered group."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -76,10 +78,11 @@ def online_clusters(faces: DataFrame, threshold: float) -> DataFrame:
             if not counts:
                 centres = v[None, :]
             else:
-                sims = centres @ v / np.maximum(np.linalg.norm(centres, axis=1), 1e-12)
+                sims = centres @ v
                 k = int(np.argmax(sims))
                 if sims[k] >= threshold:
-                    centres[k] = (centres[k] * counts[k] + v) / (counts[k] + 1)
+                    mean = (centres[k] * counts[k] + v) / (counts[k] + 1)
+                    centres[k] = mean / (np.linalg.norm(mean) or 1.0)
                     counts[k] += 1
                     out.append(k)
                     continue

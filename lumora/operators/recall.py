@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumora.functions.vectors import cosine
+from lumora.functions.vectors import dot, normalize
 
 #: Query vectors are broadcast up to so many; beyond that Spark chooses.
 BROADCAST_QUERIES = 10_000
@@ -14,8 +14,9 @@ BROADCAST_QUERIES = 10_000
 def vector_scores(queries: DataFrame, assets: DataFrame) -> DataFrame:
     """query_id, asset_id, score of every query (query_id, q) and asset (asset_id, v)."""
     small = len(queries.limit(BROADCAST_QUERIES + 1).select("query_id").collect()) <= BROADCAST_QUERIES
-    side = F.broadcast(queries) if small else queries
-    return assets.crossJoin(side).select("query_id", "asset_id", cosine(F.col("v"), F.col("q")).alias("score"))
+    # Each vector is normalised once, not once a pair.
+    left, right = assets.select("asset_id", normalize(F.col("v")).alias("v")), queries.select("query_id", normalize(F.col("q")).alias("q"))
+    return left.crossJoin(F.broadcast(right) if small else right).select("query_id", "asset_id", dot(F.col("v"), F.col("q")).alias("score"))
 
 
 def topk(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "asset_id") -> DataFrame:

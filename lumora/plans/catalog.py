@@ -216,9 +216,11 @@ def text_summary_buckets(spark, sf_dir):
     return joined.select("conv_id", "bucket", "n", texts.compact_text(F.col("all")).alias("summary"))
 
 
-@query("SELECT CASE role WHEN 'assistant' THEN 'asr' WHEN 'user' THEN 'document_text' ELSE 'ocr' END AS text_type, CASE WHEN role = 'system' THEN 'unknown' ELSE 'engine' END AS engine, count(*) AS n FROM conversations GROUP BY ALL")
+@query("""WITH e AS (SELECT CASE role WHEN 'assistant' THEN 'Whisper: engine' WHEN 'user' THEN ' ASR:doc:x ' ELSE '' END AS raw FROM conversations),
+p AS (SELECT CASE WHEN contains(raw, ':') THEN lower(trim(split_part(raw, ':', 1))) ELSE 'ocr' END AS kind, trim(CASE WHEN contains(raw, ':') THEN raw[strpos(raw, ':') + 1:] ELSE raw END) AS name FROM e)
+SELECT CASE WHEN kind IN ('ocr', 'subtitle_ocr', 'asr', 'manual_text', 'document_text') THEN kind ELSE 'ocr' END AS text_type, CASE WHEN name = '' THEN 'unknown' ELSE name END AS engine, count(*) AS n FROM p GROUP BY ALL""")
 def engine_split(spark, sf_dir):
-    raw = F.expr("CASE role WHEN 'assistant' THEN 'Whisper: engine' WHEN 'user' THEN 'doc:engine' ELSE '' END")
+    raw = F.expr("CASE role WHEN 'assistant' THEN 'Whisper: engine' WHEN 'user' THEN ' ASR:doc:x ' ELSE '' END")
     kind, engine = texts.split_engine(raw)
     return table(spark, sf_dir, "conversations").groupBy(kind.alias("text_type"), engine.alias("engine")).agg(F.count("*").alias("n"))
 
@@ -229,15 +231,23 @@ def signal_filter(spark, sf_dir):
     return signals.filter((F.length(F.trim("text")) >= 2) & (F.col("quality").isNull() | (F.col("quality") >= 1))).select("conv_id", "turn")
 
 
-@query("""WITH o AS (SELECT source, doc_id, lower(text) AS k, row_number() OVER (PARTITION BY source, lower(text) ORDER BY doc_id) AS r FROM documents)
-SELECT source, count(*) AS kept, string_agg(doc_id::VARCHAR, ' ' ORDER BY doc_id) AS ids FROM o WHERE r = 1 GROUP BY source""")
+#: Runs of one mark become one mark; DuckDB has no back-references, so each mark is written out.
+CLEANED = "trim(regexp_replace(part, '[ \\t\\n\\r\\f]+', ' ', 'g'))"
+for _mark in "#%*&!.-=|?,$<>/:;":
+    CLEANED = f"regexp_replace({CLEANED}, '[{_mark}]{{3,}}', '{_mark}', 'g')"
+
+
+@query(f"""WITH l AS (SELECT conv_id, turn, unnest(range(len(parts))) AS k, unnest(parts) AS part FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS parts FROM conversations)),
+c AS (SELECT conv_id, turn, k, ({CLEANED})[:2000] AS t FROM l),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(t) ORDER BY turn, k) AS r FROM c WHERE t <> '')
+SELECT conv_id, string_agg(t, ' ' ORDER BY turn, k) AS text FROM o WHERE r = 1 GROUP BY conv_id""")
 def dedupe_texts(spark, sf_dir):
-    first = table(spark, sf_dir, "documents").groupBy("source", F.lower("text").alias("k")).agg(F.min("doc_id").alias("doc_id"))
-    ids = F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), " ")
-    return first.groupBy("source").agg(F.count("*").alias("kept"), ids.alias("ids"))
+    """The lines of a conversation stand for the texts of one asset."""
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("turn", F.split("text", "\n").alias("lines")))), lambda t: t["lines"])
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(lines.alias("lines")).select("conv_id", texts.unique_texts(F.flatten("lines")).alias("text"))
 
 
-@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '[ \t\n\r\f]+', ' ', 'g')) AS text FROM pages""")
+@query("""SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', '''') AS text FROM pages""")
 def html_text_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", texts.strip_tags(F.col("html")).alias("text"))
 
@@ -320,12 +330,14 @@ def archive_rules(spark, sf_dir):
     return matched.filter(F.col("confidence") >= 0.34).select("asset_id", "rule", "confidence")
 
 
-@query("""WITH q AS (SELECT conv_id, turn, CASE WHEN length(trim(text)) = 0 THEN 0 ELSE least(100, 28 + 14 * least(len(regexp_extract_all(lower(text), '[a-z]{5,}')), 9) + 10 * (length(text) >= 4)::INT) END AS score FROM conversations)
-SELECT conv_id, turn, score, CASE WHEN score >= 76 THEN 'good' WHEN score >= 52 THEN 'medium' ELSE 'weak' END AS level FROM q""")
+@query("""WITH q AS (SELECT conv_id, turn, q, CASE WHEN q = '' THEN 0 ELSE least(100, 28 + 14 * len(regexp_extract_all(lower(q), '[a-z]{5,}')) + 10 * (length(q) >= 4)::INT) END AS score FROM (SELECT *, CASE WHEN turn % 5 = 4 THEN '' ELSE text[:20 * (turn % 5)] END AS q FROM conversations))
+SELECT conv_id, turn, score, CASE WHEN q = '' THEN 'empty' WHEN score >= 76 THEN 'good' WHEN score >= 52 THEN 'medium' ELSE 'weak' END AS level FROM q""")
 def query_quality(spark, sf_dir):
-    signals = F.least(F.size(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), 1)), F.lit(9))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", scores.query_quality(F.col("text"), signals).alias("score"))
-    return rows.withColumn("level", scores.grade(F.col("score"), 76, 52))
+    """Beginnings of turns stand for queries, some of them empty; words of five letters for their signals."""
+    query = F.expr("CASE WHEN turn % 5 = 4 THEN '' ELSE substring(text, 1, CAST(20 * (turn % 5) AS INT)) END")
+    signals = F.size(F.regexp_extract_all(F.lower("q"), F.lit("([a-z]{5,})"), 1))
+    rows = table(spark, sf_dir, "conversations").withColumn("q", query).select("conv_id", "turn", "q", scores.query_quality(F.col("q"), signals).alias("score"))
+    return rows.select("conv_id", "turn", "score", scores.query_level(F.col("q"), F.col("score")).alias("level"))
 
 
 @query(f"""WITH {PROTO}, s AS (SELECT vec_id AS asset_id, max({COS.format('embedding', 'q')}) FILTER (WHERE p.label < 5) AS pos, max({COS.format('embedding', 'q')}) FILTER (WHERE p.label >= 5) AS neg FROM embeddings, proto p GROUP BY vec_id)
@@ -404,11 +416,11 @@ def prototype_pick(spark, sf_dir):
     return members.groupBy("label").agg(F.count("*").alias("n"), F.min_by("node", F.struct(-F.col("quality"), F.col("node"))).alias("prototype")).filter("n >= 2")
 
 
-@query("""WITH RECURSIVE m AS (SELECT doc_id, unnest([source || ':' || lang, sha256(text)]) AS rule FROM documents WHERE n_chars > 8000),
-u AS (SELECT DISTINCT x.doc_id AS a, min(y.doc_id) OVER (PARTITION BY x.rule) AS b FROM m x JOIN m y USING (rule)), e AS (SELECT a, b FROM u UNION SELECT b, a FROM u),
+@query("""WITH RECURSIVE m AS (SELECT doc_id, unnest([source || ':' || lang, sha256(text)]) AS rule FROM documents),
+u AS (SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY rule) AS b FROM m), e AS (SELECT a, b FROM u UNION SELECT b, a FROM u),
 r(node, seen) AS (SELECT DISTINCT doc_id, doc_id FROM m UNION SELECT e.b, r.seen FROM r JOIN e ON e.a = r.node) SELECT node, min(seen) AS root FROM r GROUP BY node""")
 def merge_rules(spark, sf_dir):
-    return _merged(table(spark, sf_dir, "documents").filter("n_chars > 8000"))
+    return _merged(table(spark, sf_dir, "documents"))
 
 
 def _merged(docs: DataFrame) -> DataFrame:
@@ -419,12 +431,6 @@ def _merged(docs: DataFrame) -> DataFrame:
     return graph.components(rules.select("node").distinct(), links).select("node", F.col("label").alias("root"))
 
 
-@query()
-def merge_rules_all(spark, sf_dir):
-    """`merge_rules` takes long documents alone, as its statement does; this one takes all of them."""
-    return _merged(table(spark, sf_dir, "documents"))
-
-
 @query()
 def online_clusters(spark, sf_dir):
     rows = faces(spark, sf_dir).select(F.concat(F.lit("label_"), "label").alias("library"), F.col("asset_id").alias("face_id"), "v")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.functions.texts import clean_document_text, clean_text, normalize_text_type
+from lumora.functions.texts import clean_document_text, normalize_text_type, zero_filled
 
 INDEX = "id string, filename string, path string, kind string, library string, created_at string, width int, height int, vector array<double>, vector_model string"
 SIGNAL = "asset_id string, text_type string, text string, engine string, confidence string"
@@ -35,7 +35,8 @@ def _confidence(text: Column) -> Column:
 
 
 def read_text_signals(spark: SparkSession, path: str, assets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Signals of known assets, and the rejected rows with the reason. A blank confidence is null, blank text is left out."""
+    """Signals of known assets, and the rejected rows with the reason. A blank confidence is null. Texts are
+    stored as they are, blank ones too."""
     rows = _csv(spark, path, SIGNAL).join(assets.select("asset_id", F.lit(True).alias("_known")).distinct(), "asset_id", "left")
     blank = F.coalesce(F.trim("confidence"), F.lit("")) == ""
     reason = F.when(F.col("_known").isNull(), "unknown asset").when(~blank & _confidence(F.col("confidence")).isNull(), "confidence is no number")
@@ -43,11 +44,11 @@ def read_text_signals(spark: SparkSession, path: str, assets: DataFrame) -> tupl
     signals = marked.filter("error IS NULL").select(
         "asset_id",
         normalize_text_type(F.coalesce("text_type", F.lit("ocr"))).alias("text_type"),
-        clean_text(F.coalesce("text", F.lit(""))).alias("text"),
+        F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce("engine", F.lit("csv-import")).alias("engine"),
         _confidence(F.col("confidence")).alias("confidence"),
     )
-    return signals.filter("text <> ''"), marked.filter("error IS NOT NULL").select(F.coalesce("asset_id", F.lit("")).alias("asset_id"), "error")
+    return signals, marked.filter("error IS NOT NULL").select(F.coalesce("asset_id", F.lit("")).alias("asset_id"), "error")
 
 
 def read_ocr_rows(spark: SparkSession, path: str, engine: str = "manual-ocr") -> DataFrame:
@@ -58,11 +59,11 @@ def read_ocr_rows(spark: SparkSession, path: str, engine: str = "manual-ocr") ->
 
 
 def read_instances(spark: SparkSession, path: str, assets: DataFrame) -> DataFrame:
-    """asset_id, tag: the distinct categories of each known image; its id is padded to 12 digits."""
+    """asset_id, tag: the distinct categories of each known image; its id is padded to 12 digits, never cut."""
     schema = "categories array<struct<id: long, name: string>>, annotations array<struct<image_id: long, category_id: long>>"
     raw = spark.read.schema(schema).option("multiLine", True).json(path)
     names = raw.select(F.inline("categories")).select(F.col("id").alias("category_id"), F.col("name").alias("tag"))
-    marks = raw.select(F.inline("annotations")).select(F.lpad(F.col("image_id").cast("string"), 12, "0").alias("asset_id"), "category_id")
+    marks = raw.select(F.inline("annotations")).select(zero_filled(F.col("image_id"), 12).alias("asset_id"), "category_id")
     return marks.join(names, "category_id").join(assets.select("asset_id"), "asset_id", "left_semi").select("asset_id", "tag").distinct()
 
 
@@ -70,7 +71,7 @@ def read_captions(spark: SparkSession, path: str, assets: DataFrame, limit: int)
     """The first `limit` captions in file order whose image is a known filename."""
     schema = "annotations array<struct<image_id: long, caption: string>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("annotations").alias("position", "a")).select("position", "a.*")
-    named = rows.withColumn("filename", F.concat(F.lpad(F.col("image_id").cast("string"), 12, "0"), F.lit(".jpg")))
+    named = rows.withColumn("filename", F.concat(zero_filled(F.col("image_id"), 12), F.lit(".jpg")))
     return named.join(assets.select("filename"), "filename", "left_semi").orderBy("position").limit(limit)
 
 

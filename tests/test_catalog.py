@@ -58,5 +58,5 @@ def test_merge_rules_of_all_documents(spark, duck):
             if None not in rule:
                 a, b = sorted((find(k), find(first.setdefault(rule, k))))
                 root[b] = a
-    got = {r.node: r.root for r in catalog.QUERIES["merge_rules_all"](spark, DATA).collect()}
+    got = {r.node: r.root for r in catalog.QUERIES["merge_rules"](spark, DATA).collect()}
     assert got == {k: find(k) for k in root}

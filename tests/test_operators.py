@@ -64,3 +64,31 @@ def test_tags(spark):
     assert tags.fuse(edges).first().tags == ["cat"]
     new = spark.createDataFrame([(1, "cow", "text")], "asset_id long, tag string, source string")
     assert sorted(r.tag for r in tags.replace_source(edges, new).collect()) == ["cow", "dog"]
+
+
+def test_online_clusters_against_the_rule(spark):
+    import numpy as np
+
+    from lumora.operators import graph
+
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(500, 8))
+    centres, counts, want = [], [], []
+    for v in vectors:
+        v = v / np.linalg.norm(v)
+        sims = [float(c @ v) for c in centres]
+        k = int(np.argmax(sims)) if sims else -1
+        if k >= 0 and sims[k] >= 0.5:
+            counts[k] += 1
+            mean = (centres[k] * (counts[k] - 1) + v) / counts[k]
+            centres[k] = mean / np.linalg.norm(mean)
+        else:
+            k = len(centres)
+            centres.append(v)
+            counts.append(1)
+        want.append(k)
+    faces = spark.createDataFrame([("l", k, v.tolist()) for k, v in enumerate(vectors)], "library string, face_id long, v array<double>").repartition(3)
+    got = {r.face_id: r.cluster for r in graph.online_clusters(faces, 0.5).collect()}
+    first = {}
+    numbered = [first.setdefault(got[k], len(first)) for k in range(500)]
+    assert numbered == want

@@ -22,21 +22,21 @@ def test_signals_round_trip_and_rejects(spark, tmp_path):
     parts = sorted((tmp_path / "s").glob("*.csv"))
     assert parts and all(p.read_bytes().startswith(b"\xef\xbb\xbf") for p in parts)
     good, bad = files.read_text_signals(spark, str(tmp_path / "s"), known)
-    assert sorted((r.asset_id, r.text, r.confidence) for r in good.collect()) == [("a", 'say "hi" there', 0.1235), ("b", "x", None)]
+    assert sorted((r.asset_id, r.text, r.confidence) for r in good.collect()) == [("a", 'say "hi"\nthere', 0.1235), ("b", "x", None)]
     assert bad.isEmpty()
     (tmp_path / "t.csv").write_bytes("\ufeffasset_id,text_type,text,engine,confidence\nz,ocr,q,e,\na,ocr,q,e,high\na,ocr,,e,\n".encode())
     good, bad = files.read_text_signals(spark, str(tmp_path / "t.csv"), known)
-    assert good.isEmpty()
+    assert [(r.asset_id, r.text) for r in good.collect()] == [("a", "")]
     assert sorted((r.asset_id, r.error) for r in bad.collect()) == [("a", "confidence is no number"), ("z", "unknown asset")]
     (tmp_path / "o.csv").write_bytes("\ufeffasset_id,text,confidence\n z , q ,\n,x,1\ny, ,1\n".encode())
     assert [tuple(r) for r in files.read_ocr_rows(spark, str(tmp_path / "o.csv")).collect()] == [("z", "q", "manual-ocr", None)]
 
 
 def test_annotations(spark, tmp_path):
-    (tmp_path / "i.json").write_text(json.dumps({"categories": [{"id": 1, "name": "cat"}], "annotations": [{"image_id": 7, "category_id": 1}] * 2 + [{"image_id": 8, "category_id": 1}]}))
+    (tmp_path / "i.json").write_text(json.dumps({"categories": [{"id": 1, "name": "cat"}], "annotations": [{"image_id": 7, "category_id": 1}] * 2 + [{"image_id": 8, "category_id": 1}, {"image_id": 1234567890123, "category_id": 1}]}))
     (tmp_path / "c.json").write_text(json.dumps({"annotations": [{"image_id": 8, "caption": "u"}, {"image_id": 7, "caption": "v"}, {"image_id": 7, "caption": "w"}]}))
-    known = spark.createDataFrame([("000000000007", "000000000007.jpg")], "asset_id string, filename string")
-    assert [tuple(r) for r in files.read_instances(spark, str(tmp_path / "i.json"), known).collect()] == [("000000000007", "cat")]
+    known = spark.createDataFrame([("000000000007", "000000000007.jpg"), ("1234567890123", "x.jpg")], "asset_id string, filename string")
+    assert sorted(tuple(r) for r in files.read_instances(spark, str(tmp_path / "i.json"), known).collect()) == [("000000000007", "cat"), ("1234567890123", "cat")]
     assert [r.caption for r in files.read_captions(spark, str(tmp_path / "c.json"), known, 1).collect()] == ["v"]
 
 
