@@ -39,14 +39,20 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def numbered_clusters(labels: DataFrame) -> DataFrame:
-    """Adds cluster size and `person_%04d`, the largest first, then the one whose least node comes first.
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """`df` with its place from 1 in the unique `order`. Ranges are sorted and counted each for itself, and only the counts,
+    one for each partition, are summed in one place."""
+    placed = _kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", before.alias("_before"))
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at", "_part", "_before")
+
 
-    One row for each cluster passes the global window.
-    """
+def numbered_clusters(labels: DataFrame) -> DataFrame:
+    """Adds cluster size and `person_%04d`, the largest first, then the one whose least node comes first."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("face_count"))
-    place = F.row_number().over(Window.orderBy(F.desc("face_count"), "label"))
-    named = sizes.withColumn("person_id", F.format_string("person_%04d", place))
+    named = numbered(sizes, [F.desc("face_count"), F.col("label")], "_place").withColumn("person_id", F.format_string("person_%04d", "_place")).drop("_place")
     return labels.join(named, "label")
 
 

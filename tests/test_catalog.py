@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from lumora.plans import catalog
+from lumora.plans import catalog, library
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -28,10 +28,10 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.SQL))
+@pytest.mark.parametrize("name", sorted(catalog.SQL | library.SQL))
 def test_equals_duckdb(spark, duck, name):
-    got = catalog.QUERIES[name](spark, DATA)
-    cur = duck.execute(catalog.SQL[name])
+    got = (catalog.QUERIES | library.QUERIES)[name](spark, DATA)
+    cur = duck.execute((catalog.SQL | library.SQL)[name])
     names = [d[0] for d in cur.description]
     assert sorted(got.columns) == sorted(names)
     want = sorted(str(tuple(map(plain, r))) for r in cur.fetchall())
