@@ -7,7 +7,9 @@ import os
 import duckdb
 import pytest
 
-from lumora.plans import catalog, library
+from lumora.plans import catalog, library, searches
+
+QUERIES, SQL = catalog.QUERIES | library.QUERIES | searches.QUERIES, catalog.SQL | library.SQL | searches.SQL
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -28,10 +30,10 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.SQL | library.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_duckdb(spark, duck, name):
-    got = (catalog.QUERIES | library.QUERIES)[name](spark, DATA)
-    cur = duck.execute((catalog.SQL | library.SQL)[name])
+    got = QUERIES[name](spark, DATA)
+    cur = duck.execute(SQL[name])
     names = [d[0] for d in cur.description]
     assert sorted(got.columns) == sorted(names)
     want = sorted(str(tuple(map(plain, r))) for r in cur.fetchall())
