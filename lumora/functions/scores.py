@@ -25,7 +25,10 @@ def weighted(features: dict[str, Column], profile: str = "full") -> Column:
 def display_score(score: Column, query: str, rank: Column) -> Column:
     """Spread over the scores of all candidates of a query and the rank from 0; at most 0.98."""
     every = Window.partitionBy(query)
-    low, high = F.min(score).over(every), F.max(score).over(every)
+    return display_in(score, F.min(score).over(every), F.max(score).over(every), rank)
+
+
+def display_in(score: Column, low: Column, high: Column, rank: Column) -> Column:
     relative = F.try_divide(score - low, F.greatest(high - low, F.lit(1e-6)))
     raw = F.lit(0.55) + 0.35 * relative + 0.10 * F.greatest(F.lit(0.0), 1 - 0.035 * rank)
     return F.round(F.least(F.lit(0.98), raw), 4)

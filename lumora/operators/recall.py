@@ -32,3 +32,61 @@ def max_union(routes: list[DataFrame]) -> DataFrame:
         every = every.unionByName(r)
     best = F.min_by("route", F.struct(-F.col("score"), F.col("route")))
     return every.groupBy("query_id", "asset_id").agg(F.max("score").alias("score"), best.alias("route"))
+
+
+#: Terms meet texts on a window of KEY words.
+KEY = 3
+
+
+def containments(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, item_id where a text holds a term (item_id, term) as it is. A text with the term has the words inside of it, all
+    but its first and last, which may be parts of longer words. So terms and texts meet on the first KEY of these, and what
+    meets is verified. Terms of fewer words are compared with all texts, which their number bounds."""
+    words = F.split("term", r"\s+")
+    keyed = terms.withColumn("key", F.when(F.size(words) >= KEY + 2, F.array_join(F.slice(words, 2, KEY), " ")))
+    long = keyed.filter("key IS NOT NULL")
+    places = docs.withColumn("w", F.split("text", r"\s+")).select("doc_id", F.expr(f"explode(array_distinct(transform(sequence(0, greatest(size(w) - {KEY}, 0)), i -> concat_ws(' ', slice(w, i + 1, {KEY})))))").alias("key"))
+    # Only the keys of terms go on, so the texts are joined to few rows.
+    met = places.join(long.select("key").distinct(), "key", "left_semi").join(long, "key").select("doc_id", "item_id", "term")
+    verified = docs.join(met, "doc_id").filter(F.contains(F.col("text"), F.col("term"))).select("doc_id", "item_id")
+    short = docs.join(keyed.filter("key IS NULL"), F.contains(F.col("text"), F.col("term"))).select("doc_id", "item_id")
+    return verified.unionByName(short)
+
+
+#: Rows of a tile, and how many numbers of a product are held at once.
+TILE = 2048
+
+
+def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
+    """a, b (a < b) of vectors (asset_id, v) whose cosine is above `threshold`. Vectors are laid in tiles by hash, each pair of
+    tiles meets once and is one product of matrices; only pairs above the threshold are rows. Every pair is compared, as the
+    definition asks, so the work grows with the square of the table, but a task never holds more than two tiles."""
+    import numpy as np
+    import pyarrow as pa
+
+    unit = vectors.select("asset_id", normalize(F.col("v")).alias("v"))
+    tiles = max(1, -(-vectors.count() // TILE))
+
+    def lay(table: pa.Table) -> pa.Table:
+        table = table.sort_by("asset_id")
+        flat = pa.concat_arrays([c.flatten() for c in table.column("v").chunks]).to_numpy()
+        ids = table.column("asset_id").to_numpy().astype("<i8").tobytes()
+        return pa.table({"tile": pa.array([table.column("tile")[0].as_py()], pa.int64()), "ids": pa.array([ids], pa.binary()), "m": pa.array([flat.astype("<f8").tobytes()], pa.binary())})
+
+    laid = unit.withColumn("tile", F.pmod(F.xxhash64("asset_id"), F.lit(tiles))).groupBy("tile").applyInArrow(lay, "tile long, ids binary, m binary")
+    left = laid.select("ids", "m", "tile", F.explode(F.sequence("tile", F.lit(tiles - 1).cast("long"))).alias("other"))
+    met = left.join(laid.toDF("other", "ids_b", "m_b"), "other").select("tile", "other", "ids", "m", "ids_b", "m_b")
+
+    def multiply(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, b = (np.frombuffer(row[c], "<i8") for c in ("ids", "ids_b"))
+                x, y = np.frombuffer(row["m"], "<f8").reshape(len(a), -1), np.frombuffer(row["m_b"], "<f8").reshape(len(b), -1)
+                for k in range(0, len(a), 256):
+                    i, j = np.nonzero(x[k : k + 256] @ y.T > threshold)
+                    p, q = a[k + i], b[j]
+                    keep = p < q if row["tile"] == row["other"] else p != q
+                    p, q = p[keep], q[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+
+    return met.mapInArrow(multiply, "a long, b long")

@@ -21,8 +21,14 @@ def replace_source(edges: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def facets(edges: DataFrame, hidden: tuple[str, ...] = ()) -> DataFrame:
+    """tag, asset_count, sources of edges that name each asset, tag and source once: two aggregations of counts. Where sources
+    are several, an asset that has a tag from more than one of them must count once, so only such tags are told apart."""
     shown = edges.filter(~F.col("tag").isin(*hidden)) if hidden else edges
-    return shown.groupBy("tag").agg(F.countDistinct("asset_id").alias("asset_count"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+    counts = shown.groupBy("tag", "source").agg(F.count("*").alias("n"))
+    by_tag = counts.groupBy("tag").agg(F.sum("n").alias("asset_count"), F.array_join(F.array_sort(F.collect_list("source")), ",").alias("sources"), F.count("*").alias("_s"))
+    several = by_tag.filter("_s > 1").select("tag")
+    exact = shown.join(several, "tag").groupBy("tag", "asset_id").agg(F.lit(1).alias("one")).groupBy("tag").agg(F.count("*").alias("exact"))
+    return by_tag.join(exact, "tag", "left").select("tag", F.coalesce("exact", "asset_count").alias("asset_count"), "sources")
 
 
 def text_tags(texts: DataFrame, stop: tuple[str, ...] = (), most: int = TEXT_MOST) -> DataFrame:

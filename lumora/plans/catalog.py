@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumora.functions import scores, texts, vectors
+from lumora.functions import scores, texts
 from lumora.operators import graph, recall, tags
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,10 +104,11 @@ def weighted_fusion(spark, sf_dir):
   min(final) OVER (PARTITION BY query_id) AS lo, max(final) OVER (PARTITION BY query_id) AS hi FROM f)
 SELECT query_id, asset_id, round(least(0.98::DOUBLE, 0.55::DOUBLE + 0.35::DOUBLE * ((final - lo) / greatest(hi - lo, 1e-6)) + 0.1::DOUBLE * greatest(0::DOUBLE, 1 - 0.035::DOUBLE * rank)), 4) AS display FROM r WHERE rank < 36""")
 def display_scores(spark, sf_dir):
-    order = Window.partitionBy("query_id").orderBy(F.desc("final"), "asset_id")
-    ranked = _fused(spark, sf_dir).withColumn("rank", F.row_number().over(order) - 1)
-    shown = ranked.withColumn("display", scores.display_score(F.col("final"), "query_id", F.col("rank")))
-    return shown.filter("rank < 36").select("query_id", "asset_id", "display")
+    """The span of all candidates is an aggregate; only the ranks shown need an order, which Spark cuts before the shuffle."""
+    fused = _fused(spark, sf_dir)
+    spans = fused.groupBy("query_id").agg(F.min("final").alias("low"), F.max("final").alias("high"))
+    ranked = recall.topk(fused, 36, score="final").join(F.broadcast(spans), "query_id")
+    return ranked.select("query_id", "asset_id", scores.display_in(F.col("final"), F.col("low"), F.col("high"), F.col("rank") - 1).alias("display"))
 
 
 RANKED = f"{SCORED}, ranked AS (SELECT s.*, p.label AS wanted, e.label, row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, asset_id) AS rank FROM scored s JOIN proto p USING (query_id) JOIN embeddings e ON e.vec_id = asset_id WHERE asset_id <> query_id)"
@@ -166,9 +167,11 @@ def duplicate_stats(spark, sf_dir):
 
 @query("SELECT sha256(text) AS hash, count(*) AS n, string_agg(source || ':' || doc_id, ',' ORDER BY source, doc_id) AS files FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, hash LIMIT 50")
 def duplicate_groups(spark, sf_dir):
+    """The largest groups are found by their counts; only their members are then listed."""
+    hashed = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.sha2("text", 256).alias("hash"), "source", "doc_id")
+    largest = hashed.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "hash").limit(50)
     members = F.transform(F.sort_array(F.collect_list(F.struct("source", "doc_id"))), lambda m: F.concat(m["source"], F.lit(":"), m["doc_id"]))
-    groups = table(spark, sf_dir, "documents").filter("text IS NOT NULL").groupBy(F.sha2("text", 256).alias("hash")).agg(F.count("*").alias("n"), F.array_join(members, ",").alias("files"))
-    return groups.filter("n > 1").orderBy(F.desc("n"), "hash").limit(50)
+    return hashed.join(F.broadcast(largest), "hash").groupBy("hash", "n").agg(F.array_join(members, ",").alias("files"))
 
 
 TOKENS = "regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{2,}')"
@@ -255,16 +258,22 @@ def html_text_extract(spark, sf_dir):
 @query("""WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS terms FROM benchmark)
 SELECT page_id, item_id, round(len(list_filter(terms, lambda t: contains(lower(url), t))) / greatest(len(terms), 1), 4) AS score FROM pages, q WHERE len(list_filter(terms, lambda t: contains(lower(url), t))) > 0""")
 def keyword_score(spark, sf_dir):
+    """A term lies in a name if it is one of its parts, so parts and terms meet in an equi-join. Terms are letters alone, so
+    only parts of runs of letters are made, no longer than the longest term."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), 1)).alias("terms"))
-    pages = table(spark, sf_dir, "pages").select("page_id", F.lower("url").alias("url"))
-    hits = pages.join(items).withColumn("hits", F.size(F.filter("terms", lambda t: F.contains(F.col("url"), t)))).filter("hits > 0")
-    return hits.select("page_id", "item_id", F.round(F.col("hits") / F.greatest(F.size("terms"), F.lit(1)), 4).alias("score"))
+    terms = items.select("item_id", F.greatest(F.size("terms"), F.lit(1)).alias("n"), F.explode("terms").alias("part"))
+    longest = terms.agg(F.max(F.length("part"))).first()[0] or 3
+    runs = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("url"), F.lit("([a-z]{3,})"), 1))).alias("run"))
+    parts = runs.select("page_id", F.expr(f"explode(flatten(transform(sequence(1, length(run) - 2), i -> transform(sequence(3, least({longest}, length(run) - i + 1)), n -> substring(run, i, n)))))").alias("part"))
+    hits = parts.distinct().join(terms, "part").groupBy("page_id", "item_id", "n").agg(F.count("*").alias("hits"))
+    return hits.select("page_id", "item_id", F.round(F.col("hits") / F.col("n"), 4).alias("score"))
 
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def term_containment(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("term"))
-    return table(spark, sf_dir, "documents").join(items, F.contains(F.col("text"), F.col("term"))).select("doc_id", "item_id")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("term")).filter("term IS NOT NULL")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").filter("text IS NOT NULL")
+    return recall.containments(docs, items)
 
 
 @query("SELECT o_orderkey, round((CASE WHEN year(o_orderdate) = 1997 THEN 1 ELSE 0 END + CASE WHEN month(o_orderdate) IN (6, 7, 8) THEN 1 ELSE 0 END) / 2, 4) AS score FROM orders")
@@ -394,9 +403,7 @@ EDGE = f"e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embedd
 
 
 def _face_labels(spark, sf_dir):
-    a = faces(spark, sf_dir).select(F.col("asset_id").alias("a"), F.col("v").alias("va"))
-    b = a.toDF("b", "vb")
-    linked = a.join(b, (F.col("a") < F.col("b")) & (vectors.cosine(F.col("va"), F.col("vb")) > 0.35)).select("a", "b")
+    linked = recall.similar_pairs(faces(spark, sf_dir).select("asset_id", "v"), 0.35)
     return graph.components(faces(spark, sf_dir).select(F.col("asset_id").alias("node")), linked)
 
 

@@ -92,3 +92,28 @@ def test_online_clusters_against_the_rule(spark):
     first = {}
     numbered = [first.setdefault(got[k], len(first)) for k in range(500)]
     assert numbered == want
+
+
+def test_similar_pairs_over_several_tiles(spark, monkeypatch):
+    import numpy as np
+
+    from lumora.operators import recall
+
+    monkeypatch.setattr(recall, "TILE", 30)
+    v = np.random.default_rng(4).normal(size=(100, 6))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(a, b) for a in range(100) for b in range(a + 1, 100) if unit[a] @ unit[b] > 0.6}
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "asset_id long, v array<double>")
+    got = recall.similar_pairs(df, 0.6).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+    assert recall.similar_pairs(df.limit(0), 0.6).count() == 0
+
+
+def test_containment_of_long_and_short_terms(spark):
+    from lumora.operators import recall
+
+    texts = ["one two three four five six", "xone two three four fivey", "two  three four", "", None, "six"]
+    terms = ["one two three four five", "two three", "six", "three four five six seven"]
+    docs, items = (spark.createDataFrame(list(enumerate(x)), f"{n} long, {t} string") for x, n, t in ((texts, "doc_id", "text"), (terms, "item_id", "term")))
+    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(terms) if t is not None and x in t}
+    assert {tuple(r) for r in recall.containments(docs.filter("text IS NOT NULL"), items).collect()} == want
