@@ -1,6 +1,7 @@
 """Registered queries of planned search: a few questions, planned on the driver and answered as one batch.
 
-Vectors of assets are those of the table; a prompt's vector is the one of a fixed row, as no text encoder is at hand.
+Vectors of assets are those of the table; a prompt's vector is the one of a fixed row backwards, as no text encoder
+is at hand and none should equal an asset's.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def _prompts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     plans, prompts = planner.plan_rows(spark, _PLANS)
     place = F.create_map(*[F.lit(x) for kv in _PLACE.items() for x in kv])
     row = (F.col("query_id") * 11 + F.col("position") * 7 + F.try_element_at(place, F.col("side"))) % 100
-    vectors = table(spark, sf_dir, "embeddings").filter("vec_id < 100").select(F.col("vec_id").alias("row"), normalize(F.col("embedding")).alias("q"))
+    vectors = table(spark, sf_dir, "embeddings").filter("vec_id < 100").select(F.col("vec_id").alias("row"), normalize(F.reverse("embedding")).alias("q"))
     return plans, prompts.withColumn("row", row).join(F.broadcast(vectors), "row").drop("row")
 
 
@@ -81,7 +82,7 @@ def _search_sql(profile: str, limit: int) -> str:
     most = max(8 * limit, 64)
     return f"""{library.MEDIA}, {library.TAGS}, {library.SIGNALS},
 plans(query_id, asked_kind, year, months, asked_library, terms, tokens, relations, said) AS (VALUES {_PLAN_ROWS}),
-prompts AS (SELECT p.*, e.embedding AS q FROM (VALUES {_PROMPT_ROWS}) p(query_id, side, position, prompt, vec_id) JOIN embeddings e USING (vec_id)),
+prompts AS (SELECT p.*, list_reverse(e.embedding) AS q FROM (VALUES {_PROMPT_ROWS}) p(query_id, side, position, prompt, vec_id) JOIN embeddings e USING (vec_id)),
 a AS (SELECT m.asset_id, m.kind, m.library, m.filename, o_orderdate AS created, e.embedding AS v FROM media m JOIN embeddings e ON e.vec_id = m.asset_id LEFT JOIN orders ON o_orderkey = m.asset_id),
 near AS (SELECT query_id, position, prompt, asset_id, {COS.format("v", "q")} AS clip FROM a, prompts WHERE side = 'query' QUALIFY row_number() OVER (PARTITION BY query_id, position ORDER BY clip DESC, asset_id) <= {most}),
 tagged AS (SELECT query_id, asset_id, tag, CASE WHEN len(relations) > 0 THEN 0.18::DOUBLE ELSE 0.32::DOUBLE END AS clip FROM (SELECT query_id, relations, unnest(terms) AS tag FROM plans) JOIN (SELECT DISTINCT asset_id, tag FROM tags) USING (tag)
