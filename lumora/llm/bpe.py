@@ -11,6 +11,7 @@ import hashlib
 import json
 import os
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import pyarrow as pa
 import regex
@@ -42,11 +43,9 @@ class WordBpe:
     """A word-end BPE vocabulary in the JSON format of the tokenizers library. Words here are byte strings shown in Latin-1."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.specials = {t["content"]: str(t["id"]) for t in spec["added_tokens"]}
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
         self.alphabet = alphabet = byte_alphabet()
@@ -63,8 +62,7 @@ class WordBpe:
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[left], vocab[right]] = rank, vocab[left + right]
-        self.base = {i: [self.inner[c] for c in s] for s, i in self.inner.items() if all(c in self.inner for c in s)}
-        self.base |= {i: [*(self.inner[c] for c in s[:-1]), self.final[s[-1]]] for s, i in self.final.items() if s and all(c in self.inner for c in s[:-1]) and s[-1] in self.final}
+        self.strings = {i: (s, table) for table in (self.inner, self.final) for s, i in table.items()}
         self.sizes = [self._sizes(self.inner), self._sizes(self.final)]
         self.text = {i: str(i) for i in vocab.values()}
         self.joins: dict[tuple[int, int], bool] = {}
@@ -80,12 +78,25 @@ class WordBpe:
                 sizes.setdefault(s[-3:], {*SHORT}).add(len(s))
         return {end: sorted(ns, reverse=True) for end, ns in sizes.items()}
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def base(self, t: int) -> list[int]:
+        """The symbols of a token's characters, none where one of them is no symbol."""
+        s, table = self.strings.get(t, ("", self.final))
+        if not s or s[-1] not in table or not all(c in self.inner for c in s[:-1]):
+            return []
+        return [*[self.inner[c] for c in s[:-1]], table[s[-1]]]
+
     def edges(self, t: int) -> tuple[list[tuple[int, float]], list[tuple[int, float]]] | None:
         """The symbols at the left and at the right edge of `t` while plain BPE builds it, each with the rank of the
         merge that ends it; None where BPE does not build `t` from its own characters. Ranks only rise on the way, as a
         merge is listed after those that make its parts."""
         if t not in self.built:
-            symbols = list(self.base.get(t, ()))
+            symbols = self.base(t)
             left, right = [], []
             while len(symbols) > 1:
                 pairs = [self.merges.get(p, (NEVER, 0)) for p in zip(symbols, symbols[1:])]
@@ -196,11 +207,6 @@ class WordBpe:
         known = self.runs
         self.runs.update([(r, " ".join([known[w] for w in ws])) for r, ws in split.items() if ws[0] != r])
 
-    def forget(self) -> None:
-        """Empties the caches: a worker process goes on to other stages, which need the memory."""
-        for held in (self.runs, self.joins):
-            held.clear()
-
     def encode(self, texts: list[str]) -> list[str]:
         """The ids of each text in decimal, joined by spaces. Strings of special tokens give their ids."""
         parts = [self.special.split(t) if self.special and "<|" in t else [t] for t in texts]
@@ -275,7 +281,9 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFra
                     *([pa.array(ids), pa.array(back)] if with_ids else []),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(cols)])
-        bpe.forget()
+        # A worker process goes on to other stages, which need the memory.
+        del bpe
+        _LOADED.clear()
         released()
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}"

@@ -29,7 +29,7 @@ def released() -> None:
         _LIBC.malloc_trim(0)
 
 
-PACK_BYTES, BUCKET_BYTES = 3 << 19, 32 << 20
+PACK_BYTES, BUCKET_BYTES = 1 << 20, 32 << 20
 #: Stands for a null doc_id, which is thereby greater than all others.
 NO_ID = (1 << 63) - 1
 MIX1, MIX2, BASE1, BASE2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0x5851F42D4C957F2D, 0xDA942042E4DD58B5))
