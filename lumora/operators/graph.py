@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,7 +18,7 @@ def _kept(df: DataFrame) -> DataFrame:
     if not folder:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not jdir.isDefined():
-            if not spark.sparkContext.master.startswith("local"):
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumora-"))
         folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
