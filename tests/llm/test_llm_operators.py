@@ -296,3 +296,26 @@ def test_lm_scoring(docs, empty):
         assert (got[k].held_out, got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (held[k], len(ws), sum(w in c for w in ws), total)
         assert abs(got[k].base_score - base) < 1e-6 and got[k].score < 0
     assert lm_scoring.score_documents(empty).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    text = " ".join(f"w{rng.randrange(500)}" for _ in range(80))
+    rows = [(1, text), (1, text), (1, text + " more"), (None, text), (None, None), (None, "other"), (2, ""), (2, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made = {
+        "rules": quality_rules.apply_rules(docs),
+        "classifier": quality_classifier.classify(docs),
+        "sharding": sharding.shard_documents(docs, shards=3),
+        "bpe": bpe.encode_decode(docs, bpe.vocabulary("word_bpe_49k.json")),
+        "bytes": suffix_dedup.remove_repeats(docs),
+        "words": substring_dedup.remove_repeats(docs),
+        "join": ngram_join.link_documents(docs)[1],
+        "scores": lm_scoring.score_documents(docs),
+    }
+    want = Counter(k for k, _ in rows)
+    got = {name: df.collect() for name, df in made.items()}
+    assert {name: Counter(r.doc_id for r in rs) for name, rs in got.items()} == dict.fromkeys(made, want)
+    # A null id counts as greater than all others, so it loses what document 1 has; equal ids lose nothing to each other.
+    assert sorted((r.doc_id or 0, r.n_removed) for r in got["words"]) == [(0, 0), (0, 0), (0, 80), (1, 0), (1, 0), (1, 0), (2, 0), (2, 0)]
+    assert {r.component_id for r in got["join"] if r.n_shingles > 10} == {1}
