@@ -58,8 +58,11 @@ def _shared(packs: list[int], blobs: list[bytes]) -> dict[int, bytes]:
     order = np.argsort(key, kind="stable")
     key, owner, twice = key[order], owner[order], (both[order] & np.uint64(1)).astype(bool)
     same = key[1:] == key[:-1]
-    keep = twice | np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    return {p: pressed(key[keep & (owner == k)]) for k, p in enumerate(packs) if (keep & (owner == k)).any()}
+    keep = np.flatnonzero(twice | np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+    # Sorted once by pack, not searched once for each: a bucket hears from all packs.
+    keep = keep[np.argsort(owner[keep], kind="stable")]
+    cuts = np.searchsorted(owner[keep], np.arange(len(packs) + 1))
+    return {p: pressed(key[keep[a:b]]) for p, a, b in zip(packs, cuts, cuts[1:]) if a < b}
 
 
 def _least(packs: list[int], blobs: list[bytes]) -> dict[int, bytes]:

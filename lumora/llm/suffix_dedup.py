@@ -21,8 +21,10 @@ from lumora.llm.packs import BASE1, BASE2, BYTES1, MIX2, NO_ID, Pack, bucketed,
 from lumora.llm.substring_dedup import _gathered, _member, _shared
 
 LENGTH, PART = 50, 20
+#: Bytes of the longer anchors that divide the strings of one anchor.
+PARTS = (35, 42, 46, 48)
 #: Bytes of segments that are looked at together; strings of more symbols than LONG are sorted one by one.
-AT_ONCE, LONG = 5 << 19, 3000
+AT_ONCE, LONG = 1 << 20, 250
 
 
 def grouped_suffixes(s: list[int]) -> list[int]:
@@ -208,7 +210,7 @@ def least_by_window(data: np.ndarray, offset: np.ndarray, size: np.ndarray, anch
         order = grouped_suffixes_of(s, cuts)
     order = order[fits[order]]
     raw = offset[some][owner[order]] + order - begin[owner[order]]
-    text = data[raw[:, None] + np.arange(length)]
+    text = np.lib.stride_tricks.sliding_window_view(data, length)[raw]
     new = np.concatenate([[True], (text[1:] != text[:-1]).any(1) | (group[owner[order]][1:] != group[owner[order]][:-1])])
     least = np.minimum.reduceat(doc[some][owner[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
     where = np.cumsum(windows) - windows
@@ -216,6 +218,69 @@ def least_by_window(data: np.ndarray, offset: np.ndarray, size: np.ndarray, anch
     return out
 
 
+def divided(data: np.ndarray, offset: np.ndarray, size: np.ndarray, anchor: np.ndarray, doc: np.ndarray, length: int, part: int):
+    """Divides the strings of each anchor that has several segments by a longer one, the least hash of their parts of `part`
+    bytes; equal strings agree in it. Gives the distinct shorter segments (data, first byte, bytes, anchor, least document)
+    in the order of their anchors, and the function that turns least documents of their strings into those of the strings
+    given."""
+    windows = size - length + 1
+    out = np.repeat(doc, windows)
+    group = np.cumsum(np.concatenate([[True], anchor[1:] != anchor[:-1]])) - 1
+    some = np.flatnonzero(np.bincount(group)[group] > 1)
+    if not len(some):
+        return data[:0], some, some, anchor[:0], doc[:0], lambda found: out
+    own, k = spread(size[some])
+    flat = data[offset[some][own] + k]
+    least = sliding(mixed(window_hashes(BYTES1[flat], part, BASE2), MIX2), length - part + 1, np.minimum)
+    at = np.flatnonzero(k < windows[some][own])
+    own = own[at]
+    key = mixed(least[at]) ^ mixed(anchor[some])[own]
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])]))
+    runs = np.diff(np.append(new, len(at)))
+    begin, key, n = at[new], key[new], runs + length - 1
+    low, high = _keys(flat, begin, n)
+    by = np.lexsort((high, low, key))
+    differs = np.concatenate([[True], (key[by][1:] != key[by][:-1]) | (low[by][1:] != low[by][:-1]) | (high[by][1:] != high[by][:-1])])
+    one, ids = by[differs], np.minimum.reduceat(doc[some][own[new]][by], np.flatnonzero(differs))
+    which = np.empty(len(by), np.int64)
+    which[by] = np.cumsum(differs) - 1
+
+    def back(found: np.ndarray) -> np.ndarray:
+        where = np.cumsum(n[one] - length + 1) - n[one] + length - 1
+        run, place = spread(runs)
+        string, k = spread(windows[some])
+        out[(np.cumsum(windows) - windows)[some][string] + k] = found[where[which][run] + place]
+        return out
+
+    return flat, begin[one], n[one], key[one], ids, back
+
+
+def least_divided(data: np.ndarray, offset: np.ndarray, size: np.ndarray, anchor: np.ndarray, doc: np.ndarray, length: int = LENGTH, parts: tuple[int, ...] = PARTS) -> np.ndarray:
+    """As `least_by_window`, with the strings of each anchor divided by longer anchors of `parts[0]` bytes, and by those of
+    the next of `parts` where more than LONG symbols stay together. So suffix arrays are short, whatever the number of
+    segments around a common anchor, and hold only segments that have much in common."""
+    levels, leaves = [], []
+    for part in parts:
+        data, offset, size, anchor, doc, back = divided(data, offset, size, anchor, doc, length, part)
+        group = np.cumsum(np.concatenate([[True], anchor[1:] != anchor[:-1]])[: len(anchor)]) - 1
+        long = np.bincount(group, size + 1)[group] > LONG if part != parts[-1] else np.zeros(len(size), bool)
+        own, k = spread(size[~long])
+        leaves.append((data[offset[~long][own] + k], size[~long], anchor[~long], doc[~long]))
+        levels.append((back, np.repeat(long, size - length + 1)))
+        if not long.any():
+            break
+        offset, size, anchor, doc = offset[long], size[long], anchor[long], doc[long]
+    text, n, key, ids = (np.concatenate(x) for x in zip(*leaves))
+    found = least_by_window(text, np.cumsum(n) - n, n, key, ids, length) if len(n) else ids
+    below, end = ids[:0], len(found)
+    for back, inside in reversed(levels):
+        every = np.empty(len(inside), doc.dtype)
+        begin = end - int((~inside).sum())
+        every[inside], every[~inside] = below, found[begin:end]
+        below, end = back(every), begin
+    return below
+
+
 class Strings:
     """A pack's `length`-byte strings: `valid` where one lies in one text, and their anchors."""
 
@@ -234,9 +299,12 @@ class Strings:
     def segments(self, wanted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """(anchor, text number, first byte, bytes) of the runs of strings of one text with one anchor, of all or of the
         wanted anchors."""
-        at = np.flatnonzero(self.valid if wanted is None else self.valid & _member(self.anchor >> np.uint64(1), wanted))
+        at = np.flatnonzero(self.valid)
         new = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (self.anchor[at[1:]] != self.anchor[at[:-1]]) | (self.doc[at[1:]] != self.doc[at[:-1]])])) if len(at) else at
         first, last = at[new], at[np.append(new[1:], len(at)) - 1] if len(at) else at
+        if wanted is not None:
+            some = _member(self.anchor[first] >> np.uint64(1), wanted)
+            first, last = first[some], last[some]
         return self.anchor[first], self.doc[first], first, last - first + LENGTH
 
 
@@ -285,21 +353,23 @@ def _answers(packs: list[int], blobs: list[bytes]) -> dict[int, bytes]:
         new = np.concatenate([[True], (anchor[rows][by][1:] != anchor[rows][by][:-1]) | (low[by][1:] != low[by][:-1]) | (high[by][1:] != high[by][:-1])])
         one = by[new]
         doc = np.minimum.reduceat(least[rows][by], np.flatnonzero(new))
-        by_window = least_by_window(part, begin[one], n[one], anchor[rows][one], doc)
+        by_window = least_divided(part, begin[one], n[one], anchor[rows][one], doc)
         windows = n[one] - LENGTH + 1
         where = np.cumsum(windows) - windows
         smallest = np.minimum.reduceat(by_window, where)
         which = np.empty(len(rows), np.int64)
         which[by] = np.cumsum(new) - 1
         late = np.flatnonzero(smallest[which] < most[rows])
-        late = late[np.argsort(pack[rows][late], kind="stable")]
+        late = late[np.argsort(pack[rows[late]], kind="stable")]
         own, k = spread(windows[which[late]])
         flat = by_window[where[which[late]][own] + k]
-        ends = np.cumsum(windows[which[late]])
-        for p in np.unique(pack[rows][late]).tolist():
-            a, b = np.searchsorted(pack[rows][late], [p, p + 1])
+        ends = np.concatenate([[0], np.cumsum(windows[which[late]])])
+        # One cut for each pack, as a bucket hears from all of them.
+        of, keys = pack[rows[late]], anchor[rows[late]] >> np.uint64(1)
+        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else of
+        for a, b in zip(starts, np.append(starts[1:], len(of))):
             mine = late[a:b]
-            found.setdefault(p, []).append((anchor[rows][mine] >> np.uint64(1), low[mine], high[mine], windows[which[mine]], flat[ends[a - 1] if a else 0 : ends[b - 1]]))
+            found.setdefault(int(of[a]), []).append((keys[a:b], low[mine], high[mine], windows[which[mine]], flat[ends[a] : ends[b]]))
     out = {}
     for p, parts in found.items():
         anchors, low, high, sizes, flat = (np.concatenate(x) for x in zip(*parts))

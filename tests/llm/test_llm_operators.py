@@ -4,6 +4,7 @@ import hashlib
 import pickle
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -195,6 +196,42 @@ def test_least_document_of_each_window(monkeypatch):
         assert suffix_dedup.least_by_window(data, offset, size, anchor, doc, 4).tolist() == want
 
 
+def test_strings_of_a_common_anchor_are_divided(monkeypatch):
+    rng = random.Random(6)
+    common = bytes(rng.choice(b"abcdef") for _ in range(20))
+    sides = [bytes(rng.choice(b"ab") for _ in range(40)) for _ in range(12)]
+    segments = sorted({rng.choice(sides)[rng.randint(0, 9) :] + common + rng.choice(sides)[: rng.randint(12, 40)] for _ in range(400)})
+    size = np.array([len(x) for x in segments])
+    doc = np.array([rng.randint(0, 999) for _ in segments])
+    least = {}
+    for x, d in zip(segments, doc.tolist()):
+        for k in range(len(x) - 49):
+            least[x[k : k + 50]] = min(d, least.get(x[k : k + 50], d))
+    want = [least[x[k : k + 50]] for x in segments for k in range(len(x) - 49)]
+    built, real = [], suffix_dedup.least_by_window
+    monkeypatch.setattr(suffix_dedup, "least_by_window", lambda *a: built.append(a) or real(*a))
+    data, offset, anchor = np.frombuffer(b"".join(segments), np.uint8), np.cumsum(size) - size, np.zeros(len(segments), np.uint64)
+    assert suffix_dedup.least_divided(data, offset, size, anchor, doc).tolist() == want
+    ((_, _, sizes, anchors, _, _),) = built
+    # One string of all segments before; now none is long.
+    assert int(size.sum()) > 20_000 > 20 * max(Counter(np.repeat(anchors, sizes).tolist()).values())
+    long = suffix_dedup.PARTS[:1]
+    assert suffix_dedup.least_divided(data, offset, size, anchor, doc, 50, long).tolist() == want
+    alone = suffix_dedup.least_divided(data, offset, size, np.arange(len(segments), dtype=np.uint64), doc)
+    assert alone.tolist() == np.repeat(doc, size - 49).tolist()
+
+
+def test_bucket_of_very_many_packs():
+    # Each pack's answer is cut out of one sorted list. Where each scans all anchors of the bucket, this takes far longer.
+    packs = list(range(12_000))
+    blobs = [substring_dedup.pressed(np.array([2 * p, 2 * p + 24_000, *range(10**6 + 200 * p, 10**6 + 200 * p + 160, 2)], "<u8")) for p in packs]
+    blobs[7] = substring_dedup.pressed(np.array([2 * 6, 61_001], "<u8"))
+    began = time.process_time()
+    got = substring_dedup._shared(packs, blobs)
+    assert time.process_time() - began < 4
+    assert {p: substring_dedup.unpressed(b, "<u8")[0].tolist() for p, b in got.items() if p in (6, 7)} == {6: [6], 7: [6, 30_500]}
+
+
 def test_suffix_dedup(docs, empty):
     got, seen = by_id(suffix_dedup.remove_repeats(docs)), set()
     for k, t in corpus():
