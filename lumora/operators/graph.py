@@ -40,6 +40,103 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def similar_components(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(node, label) of vectors (asset_id, v): the least id that links of a cosine above `threshold` reach.
+
+    Links are not written, only those that join what a task has not joined yet. Tiles find their own components; all meet
+    the first tile; then only vectors outside of the largest component so far meet the others, since links inside of it
+    change nothing. So without a large component every pair is compared, and pairs of these vectors twice.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from lumora.operators.recall import TILE, tiled, unit_rows
+
+    tiles, kind = tiled(vectors, threshold)
+    size, units = TILE, unit_rows()
+
+    def join(batches):
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = up[x]
+            return x
+
+        for batch in batches:
+            links = []
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                (a, of), (b, by) = (np.unique(np.frombuffer(row[c], "<i8"), return_inverse=True) for c in ("labels", "labels_b"))
+                if len({root(x) for x in a.tolist()} | {root(x) for x in b.tolist()}) == 1:
+                    continue
+                x, y, near = units(row["m"], kind, len(of)), units(row["m_b"], kind, len(by)), np.zeros((len(a), len(b)), bool)
+                for k in range(0, len(x), 256):
+                    i, j = np.nonzero(x[k : k + 256] @ y.T > threshold)
+                    near[of[k + i], by[j]] = True
+                # A tree for each component of this pair of tiles.
+                new_a, new_b = near.any(1), np.ones(len(b), bool)
+                for first in np.flatnonzero(new_a):
+                    front = np.array([first]) if new_a[first] else ()
+                    while len(front):
+                        new_a[front] = False
+                        others = np.flatnonzero(near[front].any(0) & new_b)
+                        new_b[others] = False
+                        front = np.flatnonzero(near[:, others].any(1) & new_a)
+                        for q in (*b[others].tolist(), *a[front].tolist()):
+                            p, q = root(int(a[first])), root(q)
+                            if p != q:
+                                up[max(p, q)] = min(p, q)
+                                links.append((max(p, q), min(p, q)))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"])
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        right = right.select(F.col("m").alias("m_b"), F.col("labels").alias("labels_b"))
+        return _kept(left.select("m", "labels").join(right.hint("shuffle_replicate_nl")).mapInArrow(join, "a long, b long"))
+
+    def outside(batches):
+        m, labels = [], []
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(x)], pa.binary()) for x in (m, labels)], ["m", "labels"])
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                own = np.frombuffer(row["labels"], "<i8")
+                keep = np.flatnonzero(np.isin(own, row["some"]))
+                vs = np.frombuffer(row["m"], kind).reshape(len(own), -1)
+                for k in keep.tolist():
+                    m.append(vs[k].tobytes())
+                    labels.append(own[k].tobytes())
+                    if len(m) == size:
+                        yield out()
+                        m.clear(), labels.clear()
+        if m:
+            yield out()
+
+    own = tiles.select("tile", F.explode("own").alias("node"))
+    first = tiles.agg(F.min("tile")).first()[0]
+    links = joined(tiles, tiles.filter(F.col("tile") == (-1 if first is None else first)))
+    roots = components(own.select("node"), links)
+    # The component of most tile components: any choice gives the same result.
+    largest = roots.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").first()
+    if largest:
+        some = own.join(roots.filter(F.col("label") != largest.label), "node").groupBy("tile").agg(F.collect_list("node").alias("some"))
+        rest = _kept(tiles.select("tile", "m", "labels").join(some, "tile").select("m", "labels", "some").mapInArrow(outside, "m binary, labels binary"))
+        roots = components(own.select("node"), links.union(joined(tiles, rest)))
+
+    def rows(batches):
+        for batch in batches:
+            for ids, labels in zip(*(c.to_pylist() for c in batch.columns)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<i8")) for x in (ids, labels)], ["node", "own"])
+
+    placed = tiles.select("ids", "labels").mapInArrow(rows, "node long, own long").join(roots.toDF("own", "label"), "own").select("node", "label")
+    return placed.union(vectors.filter("v IS NULL").select("asset_id", "asset_id"))
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """`df` with its place from 1 in the unique `order`. Ranges are sorted and counted each for itself, and only the counts,
     one for each partition, are summed in one place."""

@@ -57,31 +57,85 @@ def containments(docs: DataFrame, terms: DataFrame) -> DataFrame:
 TILE = 2048
 
 
-def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """a, b (a < b) of vectors (asset_id, v) whose cosine is above `threshold`. Vectors are laid in tiles by hash, each pair of
-    tiles meets once and is one product of matrices; only pairs above the threshold are rows. Every pair is compared, as the
-    definition asks, so the work grows with the square of the table, but a task never holds more than two tiles."""
+def unit_rows():
+    """The function from a tile's numbers to unit vectors; a zero vector stays as it is. It travels to the workers by value,
+    so they need not have this package."""
+    import numpy as np
+
+    def units(m: bytes, kind: str, rows: int):
+        x = np.frombuffer(m, kind).reshape(rows, -1).astype("<f8")
+        norm = np.sqrt((x * x).sum(1, keepdims=True))
+        return x / np.where(norm == 0, 1, norm)
+
+    return units
+
+
+def tiled(vectors: DataFrame, threshold: float | None = None) -> tuple[DataFrame, str]:
+    """Tiles (tile, ids, m, labels, own) of up to TILE vectors (asset_id, v) as they lie, without a shuffle, written once, and
+    the kind of number in `m`. With a threshold, `labels` has for each row the least id of its tile that links of a cosine
+    above it reach, and `own` the different ones among these. Null vectors are left out."""
     import numpy as np
     import pyarrow as pa
+    from pyspark import TaskContext
+
+    from lumora.operators.graph import _kept
+
+    kind = "<f4" if vectors.schema["v"].dataType.simpleString() == "array<float>" else "<f8"
+    names, size, units, rows = ["tile", "ids", "m", "labels", "own"], TILE, unit_rows(), vectors.select("asset_id", "v").filter("v IS NOT NULL")
+
+    def lay(batches):
+        tile, held = TaskContext.get().partitionId() << 32, []
+
+        def out(table: pa.Table) -> pa.RecordBatch:
+            table = table.sort_by("asset_id").combine_chunks()
+            ids = table.column("asset_id").to_numpy().astype("<i8")
+            m = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes()
+            labels = ids
+            if threshold is not None:
+                x = units(m, kind, len(ids))
+                near = np.concatenate([x[k : k + 256] @ x.T > threshold for k in range(0, len(x), 256)])
+                at = np.full(len(ids), -1)
+                for first in range(len(ids)):
+                    if at[first] < 0:
+                        at[first], front = first, np.array([first])
+                        while len(front):
+                            front = np.flatnonzero(near[front].any(0) & (at < 0))
+                            at[front] = first
+                labels = ids[at]
+            cols = [pa.array([tile], pa.int64()), *(pa.array([x], pa.binary()) for x in (ids.tobytes(), m, labels.tobytes()))]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([np.unique(labels).tolist()], pa.list_(pa.int64()))], names)
+
+        for batch in batches:
+            held.append(batch)
+            while sum(b.num_rows for b in held) >= size:
+                table = pa.Table.from_batches(held)
+                yield out(table.slice(0, size))
+                tile, held = tile + 1, table.slice(size).to_batches()
+        if sum(b.num_rows for b in held):
+            yield out(pa.Table.from_batches(held))
+
+    return _kept(rows.mapInArrow(lay, "tile long, ids binary, m binary, labels binary, own array<long>")), kind
 
-    unit = vectors.select("asset_id", normalize(F.col("v")).alias("v"))
-    tiles = max(1, -(-vectors.count() // TILE))
 
-    def lay(table: pa.Table) -> pa.Table:
-        table = table.sort_by("asset_id")
-        flat = pa.concat_arrays([c.flatten() for c in table.column("v").chunks]).to_numpy()
-        ids = table.column("asset_id").to_numpy().astype("<i8").tobytes()
-        return pa.table({"tile": pa.array([table.column("tile")[0].as_py()], pa.int64()), "ids": pa.array([ids], pa.binary()), "m": pa.array([flat.astype("<f8").tobytes()], pa.binary())})
+def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
+    """a, b (a < b) of vectors (asset_id, v) whose cosine is above `threshold`. Each pair of tiles meets once and is one
+    product of matrices; only pairs above the threshold are rows. Every pair is compared, as the definition asks, so the work
+    grows with the square of the table, but a task never holds more than a partition of tiles, and tiles are read again,
+    not copied to disk, for each partition that they meet."""
+    import numpy as np
+    import pyarrow as pa
 
-    laid = unit.withColumn("tile", F.pmod(F.xxhash64("asset_id"), F.lit(tiles))).groupBy("tile").applyInArrow(lay, "tile long, ids binary, m binary")
-    left = laid.select("ids", "m", "tile", F.explode(F.sequence("tile", F.lit(tiles - 1).cast("long"))).alias("other"))
-    met = left.join(laid.toDF("other", "ids_b", "m_b"), "other").select("tile", "other", "ids", "m", "ids_b", "m_b")
+    tiles, kind = tiled(vectors)
+    units = unit_rows()
+    left, right = tiles.select("tile", "ids", "m"), tiles.select(F.col("tile").alias("other"), F.col("ids").alias("ids_b"), F.col("m").alias("m_b"))
+    met = left.join(right.hint("shuffle_replicate_nl"), F.col("tile") <= F.col("other"))
 
     def multiply(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 a, b = (np.frombuffer(row[c], "<i8") for c in ("ids", "ids_b"))
-                x, y = np.frombuffer(row["m"], "<f8").reshape(len(a), -1), np.frombuffer(row["m_b"], "<f8").reshape(len(b), -1)
+                x, y = units(row["m"], kind, len(a)), units(row["m_b"], kind, len(b))
                 for k in range(0, len(a), 256):
                     i, j = np.nonzero(x[k : k + 256] @ y.T > threshold)
                     p, q = a[k + i], b[j]

@@ -403,8 +403,7 @@ EDGE = f"e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embedd
 
 
 def _face_labels(spark, sf_dir):
-    linked = recall.similar_pairs(faces(spark, sf_dir).select("asset_id", "v"), 0.35)
-    return graph.components(faces(spark, sf_dir).select(F.col("asset_id").alias("node")), linked)
+    return graph.similar_components(faces(spark, sf_dir).select("asset_id", "v"), 0.35)
 
 
 COMPONENTS = f"{EDGE}, u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(node, seen) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT u.b, r.seen FROM r JOIN u ON u.a = r.node), l AS (SELECT node, min(seen) AS label FROM r GROUP BY node)"

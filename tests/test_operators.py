@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lumora.functions import scores, texts, vectors
@@ -109,6 +110,33 @@ def test_similar_pairs_over_several_tiles(spark, monkeypatch):
     assert recall.similar_pairs(df.limit(0), 0.6).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.35, 0.7, 0.9, 1.1])
+def test_similar_components_over_several_tiles(spark, monkeypatch, threshold):
+    import numpy as np
+
+    from lumora.operators import recall
+
+    monkeypatch.setattr(recall, "TILE", 17)
+    v = np.random.default_rng(5).normal(size=(150, 6))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near, want = unit @ unit.T > threshold, list(range(150))
+    while (new := [min([want[k], *(want[j] for j in np.flatnonzero(near[k]))]) for k in range(150)]) != want:
+        want = new
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)] + [(150, None)], "asset_id long, v array<double>").repartition(4)
+    got = sorted(graph.similar_components(df, threshold).collect())
+    assert [tuple(r) for r in got] == list(enumerate([*want, 150]))
+    assert graph.similar_components(df.limit(0), threshold).count() == 0
+
+
+def test_similar_components_write_trees_not_links(spark, tmp_path, monkeypatch):
+    written, real = [], graph._kept
+    monkeypatch.setattr(graph, "_kept", lambda df: written.append(real(df)) or written[-1])
+    # 3000 equal vectors have 4.5 million links, which were all written before.
+    df = spark.range(3000).selectExpr("id AS asset_id", "array(1.0D, 2.0D) AS v")
+    assert {r.label for r in graph.similar_components(df, 0.5).collect()} == {0}
+    assert max(x.count() for x in written) < 100
+
+
 def test_containment_of_long_and_short_terms(spark):
     from lumora.operators import recall
 
