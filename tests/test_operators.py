@@ -145,3 +145,13 @@ def test_containment_of_long_and_short_terms(spark):
     docs, items = (spark.createDataFrame(list(enumerate(x)), f"{n} long, {t} string") for x, n, t in ((texts, "doc_id", "text"), (terms, "item_id", "term")))
     want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(terms) if t is not None and x in t}
     assert {tuple(r) for r in recall.containments(docs.filter("text IS NOT NULL"), items).collect()} == want
+
+
+def test_prototype_pick_writes_no_links(spark, tmp_path, monkeypatch):
+    from lumora.plans import catalog
+
+    written, real = [], graph._kept
+    monkeypatch.setattr(graph, "_kept", lambda df: written.append(real(df)) or written[-1])
+    spark.range(600).selectExpr("id AS vec_id", "array(float(1 + id % 2), float(2)) AS embedding", "0 AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [tuple(r) for r in catalog.prototype_pick(spark, str(tmp_path)).collect()]
+    assert got == [(0, 600, 1)] and max(x.count() for x in written) < 100
