@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from lumora.llm.common import documents, written
 
-SHARDS, ROUNDS, SLACK, DEGREE = 40, 3, 0.02, 256
+SHARDS, ROUNDS, SLACK, DEGREE = 40, 6, 0.02, 256
 #: Groups over one LARGE-th of a shard are placed one by one; there are fewer than about LARGE * shards of them.
 LARGE = 16
+#: Characters at either end of a text by which texts are linked.
+END = 64
 
 
 def _draw(*salt) -> Column:
@@ -32,6 +34,12 @@ def equal_text_links(nodes: DataFrame) -> DataFrame:
     return leaves.union(chained.select(F.col("up").alias("src"), F.col("first").alias("dst"))).filter("src <> dst")
 
 
+def near_text_links(texts: DataFrame) -> DataFrame:
+    """Links of different texts (node, head, tail) that begin or end alike."""
+    ways = [equal_text_links(texts.select("node", F.col(k).alias("text_key")).filter("text_key IS NOT NULL")) for k in ("head", "tail")]
+    return ways[0].union(ways[1])
+
+
 def plan_groups(groups: list[tuple], size: list[int]) -> tuple[dict, dict, list[int]]:
     """Where the large groups (key, n) go: the shard of each that fits whole, the pieces (shard, n) of each that fits in
     none, and the room that is left. The largest come first, each to the shard of most room."""
@@ -51,9 +59,9 @@ def plan_groups(groups: list[tuple], size: list[int]) -> tuple[dict, dict, list[
     return whole, pieces, room
 
 
-def lay_out(size: list[int], pieces: list[list[tuple[int, int]]], grouped: list[int]) -> list[tuple[int, int, int]]:
+def lay_out(size: list[int], pieces: list[list[tuple[int, int]]], grouped: list[int], single: list[int]) -> list[tuple[int, int, int]]:
     """Runs (first rank, shard, first slot) over rows in this order: the divided groups, the other groups by label, the
-    single rows. Groups are cut here only where the groups of one label exceed their shard; single rows fill the room."""
+    single rows by label. What exceeds the shard of its label goes where most room is; groups are cut only there."""
     runs, at, used, free = [], 0, [0] * len(size), list(size)
 
     def lay(s: int, n: int):
@@ -65,46 +73,45 @@ def lay_out(size: list[int], pieces: list[list[tuple[int, int]]], grouped: list[
     for s, n in (piece for group in pieces for piece in group):
         lay(s, n)
         free[s] -= n
-    fit = [min(g, f) for g, f in zip(grouped, free)]
-    free = [f - n for f, n in zip(free, fit)]
-    ends = list(used)
-    for s, n in enumerate(fit):
-        ends[s] += n
-    for s, n in enumerate(fit):
-        lay(s, n)
-        over = grouped[s] - n
-        while over:
-            to = max(range(len(free)), key=free.__getitem__)
-            k = min(over, free[to])
-            # Behind the rows that the shard's own groups take.
-            runs.append((at, to, ends[to]))
-            at, ends[to], free[to], over = at + k, ends[to] + k, free[to] - k, over - k
-    used[:] = ends
-    for s, n in enumerate(free):
-        lay(s, n)
+    for counts in (grouped, single):
+        fit = [min(g, f) for g, f in zip(counts, free)]
+        free = [f - n for f, n in zip(free, fit)]
+        ends = [u + n for u, n in zip(used, fit)]
+        for s, n in enumerate(fit):
+            lay(s, n)
+            over = counts[s] - n
+            while over:
+                to = max(range(len(free)), key=free.__getitem__)
+                k = min(over, free[to])
+                # Behind the rows that the shard's own take.
+                runs.append((at, to, ends[to]))
+                at, ends[to], free[to], over = at + k, ends[to] + k, free[to] - k, over - k
+        used[:] = ends
     return runs
 
 
-def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
-    """`nodes` (node, seed, ...) with a `label` below `shards`: linked nodes share one where quotas allow.
+def propagate(nodes: DataFrame, links: DataFrame, room: list[int], rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
+    """`nodes` (node, seed, rows, ...) with a `label`, a shard: linked nodes share one where quotas allow.
 
-    A node starts in the shard `seed` or, where that is null, in the one drawn by its smallest neighbour or itself. In each round a node asks for the shard that
-    most of its neighbours are in; of those who ask for a shard, a part drawn by hash may move, so that no shard exceeds
-    its quota of (1 + slack) * nodes / shards. Only counts by pair of shards reach the driver.
+    A node with a `seed` stays there. Another starts in a shard drawn by itself, with the `room` of the shards as weights.
+    In each round a node asks for the shard that most of its neighbours are in; of those who ask for a shard, a part drawn by hash may move, so that no shard exceeds its quota of (1 + slack) * rows / shards, and half of
+    them at most, so that two neighbours do not change places for ever. Only counts by pair of shards reach the driver.
     """
+    shards = len(room)
     both = written(links.union(links.select("dst", "src")).toDF("src", "node"), "links")
-    first = both.groupBy("node").agg(F.min("src").alias("least"))
-    drawn = F.pmod(F.xxhash64(F.least("node", F.coalesce("least", "node"))), F.lit(shards))
-    labels = written(nodes.select("node", "seed").join(first, "node", "left").select("node", F.coalesce("seed", drawn).cast("int").alias("label")), "labels")
-    quota = (1 + slack) * labels.count() / shards
+    cuts = F.array(*[F.lit(float(c)) for c in np.cumsum(room) / max(sum(room), 1)])
+    drawn = F.least(F.size(F.filter(cuts, lambda c: c <= _draw("start"))), F.lit(shards - 1))
+    labels = written(nodes.select("node", "rows", F.col("seed").isNotNull().alias("held"), F.coalesce("seed", drawn).cast("int").alias("label")), "labels")
+    quota = (1 + slack) * (labels.agg(F.sum("rows")).first()[0] or 0) / shards
     for turn in range(rounds):
-        votes = both.join(labels.toDF("src", "vote"), "src").groupBy("node", "vote").agg(F.count("*").alias("n"))
+        votes = both.join(labels.select(F.col("node").alias("src"), F.col("label").alias("vote")), "src").groupBy("node", "vote").agg(F.count("*").alias("n"))
         own = labels.select("node", F.col("label").alias("vote"), F.lit(0).alias("n"))
         tally = votes.unionByName(own).groupBy("node", "vote").agg(F.sum("n").alias("n"), F.max(F.col("n") == 0).alias("here"))
         # More votes first, then staying, then the lower shard.
         want = tally.groupBy("node").agg(F.max(F.struct("n", "here", -F.col("vote"))).alias("w"), F.max(F.when(F.col("here"), F.col("vote"))).alias("label"))
-        asked = written(want.select("node", "label", (-F.col("w")["col3"]).alias("want")), "asked")
-        demand = {(r.label, r.want): r["count"] for r in asked.groupBy("label", "want").count().collect()}
+        wish = F.when(F.col("held"), F.col("label")).otherwise(-F.col("w")["col3"])
+        asked = written(want.join(labels.select("node", "rows", "held"), "node").select("node", "rows", "held", "label", wish.alias("want")), "asked")
+        demand = {(r.label, r.want): r.n for r in asked.groupBy("label", "want").agg(F.sum("rows").alias("n")).collect()}
         if all(a == b for a, b in demand):
             break
         size = [sum(n for (a, _), n in demand.items() if a == s) for s in range(shards)]
@@ -114,9 +121,9 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
         # What surely leaves a shard makes room for as many; one more pass over the parts suffices for that.
         leave = [sum(n * part[b] for (a, b), n in demand.items() if a == s != b) for s in range(shards)]
         part = [min(1.0, (room[s] + leave[s]) / into[s]) if into[s] else 0.0 for s in range(shards)]
-        allowed = F.array(*[F.lit(p) for p in part])[F.col("want")]
-        labels = written(asked.select("node", F.when(_draw(turn) < allowed, F.col("want")).otherwise(F.col("label")).cast("int").alias("label")), "labels")
-    return nodes.join(labels, "node")
+        allowed = F.array(*[F.lit(min(p, 0.5)) for p in part])[F.col("want")]
+        labels = written(asked.select("node", "rows", "held", F.when(_draw(turn) < allowed, F.col("want")).otherwise(F.col("label")).cast("int").alias("label")), "labels")
+    return nodes.join(labels.select("node", "label"), "node")
 
 
 def numbered(df: DataFrame, order: list) -> DataFrame:
@@ -133,36 +140,35 @@ def numbered(df: DataFrame, order: list) -> DataFrame:
     return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("rank", F.col("_before") + within).drop("_at", "_part", "_before")
 
 
-def shard_documents(docs: DataFrame, links=equal_text_links, shards: int = SHARDS) -> DataFrame:
+def shard_documents(docs: DataFrame, links=near_text_links, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """Every row of `docs` in one of `shards` shards by the law `rows`: counts differ by one at most.
 
-    `links` makes links (src, dst) of nodes (node, doc_id, size, text_crc32, text_key). All rows of one text start in one
-    shard: large groups are placed by size, the others are drawn by their text with the room as weight. After propagation
-    the groups of a shard come first and single rows fill it, so that only groups over a shard's size are divided, and
-    those that overfill one where single rows are too few to even it out. A null text counts as empty with size 16;
-    repeated rows are rows of their own; an empty table gives an empty result.
+    All rows of one text are one node, so they move together; large groups are placed by size and stay. `links` makes links
+    (src, dst) of the nodes (node, text_key, head, tail): by these, propagation brings texts that begin or end alike to one
+    shard, as far as it has room. Then groups and single rows are laid out by label, so that only groups over a shard's size
+    are divided, and those that overfill one where single rows are too few to even it out. A null text counts as empty
+    with size 16; repeated rows are rows of their own; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("text_key"))
-    nodes = written(base.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    ends = [F.when(F.length(text) >= END, F.xxhash64(x)).alias(k) for k, x in (("head", F.substring(text, 1, END)), ("tail", F.substring(text, -END, END)))]
+    base = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("text_key"), *ends)
+    nodes = written(base.withColumn("id", F.monotonically_increasing_id()), "nodes")
     total = nodes.count()
     size = [-(-(s + 1) * total // shards) - -(-s * total // shards) for s in range(shards)]
-    groups = written(nodes.groupBy("text_key").agg(F.count("*").alias("together")).filter("together > 1"), "groups")
-    large = groups.filter(F.col("together") * LARGE > min(size)).collect()
-    whole, pieces, room = plan_groups([(bytes(r.text_key), r.together) for r in large], size)
-    cuts = np.cumsum(room) / max(sum(room), 1)
-    draw = F.pmod(F.xxhash64("text_key"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = F.least(F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= draw)), F.lit(shards - 1))
+    texts = written(nodes.groupBy("text_key").agg(F.count("*").alias("rows"), F.min("id").alias("node"), F.min("head").alias("head"), F.min("tail").alias("tail")), "texts")
+    large = texts.filter((F.col("rows") > 1) & (F.col("rows") * LARGE > min(size))).select("text_key", "rows").collect()
+    whole, pieces, room = plan_groups([(bytes(r.text_key), r.rows) for r in large], size)
     placed = [(k, s, None) for k, s in whole.items()] + [(k, p[0][0], i) for i, (k, p) in enumerate(pieces.items())]
-    known = F.broadcast(spark.createDataFrame(placed, "text_key binary, place int, divided int"))
-    grouped = nodes.join(groups, "text_key", "left").join(known, "text_key", "left")
-    seeded = written(grouped.withColumn("seed", F.when(F.col("together").isNotNull(), F.coalesce("place", drawn))).drop("place"), "seeded")
-    labelled = written(propagate(seeded, links(nodes), shards), "labelled")
-    counts = {r.label: r["count"] for r in labelled.filter("together IS NOT NULL AND divided IS NULL").groupBy("label").count().collect()}
-    runs = lay_out(size, list(pieces.values()), [counts.get(s, 0) for s in range(shards)])
-    side = F.when(F.col("divided").isNotNull(), 0).when(F.col("together").isNotNull(), 1).otherwise(2)
-    laid = labelled.withColumn("side", side).withColumn("run", F.coalesce("divided", "label"))
+    known = F.broadcast(spark.createDataFrame(placed, "text_key binary, seed int, divided int"))
+    seeded = texts.join(known, "text_key", "left")
+    labels = propagate(seeded, links(texts), room, rounds).select("text_key", "rows", "divided", "label")
+    labelled = written(nodes.select("id", "doc_id", "size", "text_crc32", "text_key").join(labels, "text_key"), "labelled")
+    some = F.when(F.col("divided").isNotNull(), 0).when(F.col("rows") > 1, 1).otherwise(2)
+    laid = labelled.withColumn("side", some).withColumn("run", F.coalesce("divided", "label"))
+    counts = {(r.side, r.run): r["count"] for r in laid.filter("side > 0").groupBy("side", "run").count().collect()}
+    runs = lay_out(size, list(pieces.values()), *[[counts.get((side, s), 0) for s in range(shards)] for side in (1, 2)])
+    laid = laid.withColumnRenamed("id", "node")
     ranked = numbered(laid, ["side", "run", "text_key", "node"])
     table = F.array(*[F.struct(*[F.lit(x).cast("long").alias(k) for k, x in zip(("at", "shard", "slot"), r)]) for r in runs or [(0, 0, 0)]])
     of = F.element_at(F.filter(table, lambda r: r["at"] <= F.col("rank")), -1)

@@ -145,6 +145,22 @@ def test_sharding(docs, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_sharding_by_propagation(spark):
+    # 150 families of six different texts, tied by common ends; without links or rounds they lie apart.
+    texts = [f"{'begin' if m < 4 else 'other'} {k} ".ljust(70, ".") + f"{k} {m} middle" + f" end {k} {m if m < 3 else 3}".rjust(70, ".") for k in range(150) for m in range(6)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").repartition(3)
+
+    def pairs(**how):
+        rows = sharding.shard_documents(docs, shards=6, **how).collect()
+        assert sorted((r.shard, r.slot) for r in rows) == [(s, k) for s in range(6) for k in range(150)]
+        of = {r.doc_id: r.shard for r in rows}
+        return sum(of[6 * k + i] == of[6 * k + j] for k in range(150) for i in range(6) for j in range(i))
+
+    moved, drawn = pairs(), pairs(rounds=0)
+    unlinked = pairs(links=lambda nodes: nodes.limit(0).selectExpr("node AS src", "node AS dst"))
+    assert moved > 2 * drawn and moved > 2 * unlinked
+
+
 def test_sharding_keeps_thousands_of_copies_together(spark):
     texts = ["copied"] * 2500 + ["over a shard"] * 4000 + [f"group {k}" for k in range(200) for _ in range(5)] + [f"single {k}" for k in range(4500)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
