@@ -28,16 +28,18 @@ def _kept(df: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label): label is the least node that edges (a, b) reach; nodes without edges are their own."""
+    """(node, label): label is the least node that edges (a, b) reach; nodes without edges are their own and take no part in
+    the rounds, so that what these write follows the edges."""
     both = _kept(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = _kept(nodes.select("node", F.col("node").alias("label")))
+    ends = both.select(F.col("a").alias("node")).distinct()
+    labels = _kept(ends.join(nodes.select("node"), "node", "left_semi").select("node", F.col("node").alias("label")))
     while True:
         near = both.join(labels.toDF("a", "label"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
         least = labels.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
         jumped = _kept(least.join(labels.toDF("new", "far"), "new").select("node", "label", F.least("new", "far").alias("new")))
         labels = jumped.select("node", F.col("new").alias("label"))
         if jumped.filter("new <> label").isEmpty():
-            return labels
+            return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def similar_components(vectors: DataFrame, threshold: float) -> DataFrame:
@@ -96,6 +98,11 @@ def similar_components(vectors: DataFrame, threshold: float) -> DataFrame:
         right = right.select(F.col("m").alias("m_b"), F.col("labels").alias("labels_b"))
         return _kept(left.select("m", "labels").join(right.hint("shuffle_replicate_nl")).mapInArrow(join, "a long, b long"))
 
+    def counted(batches):
+        for batch in batches:
+            n = sum(int(np.isin(np.frombuffer(r["labels"], "<i8"), r["some"]).sum()) for r in batch.to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
     def outside(batches):
         m, labels = [], []
 
@@ -124,8 +131,15 @@ def similar_components(vectors: DataFrame, threshold: float) -> DataFrame:
     # The component of most tile components: any choice gives the same result.
     largest = roots.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").first()
     if largest:
-        some = own.join(roots.filter(F.col("label") != largest.label), "node").groupBy("tile").agg(F.collect_list("node").alias("some"))
-        rest = _kept(tiles.select("tile", "m", "labels").join(some, "tile").select("m", "labels", "some").mapInArrow(outside, "m binary, labels binary"))
+        some = _kept(own.join(roots.filter(F.col("label") != largest.label), "node").groupBy("tile").agg(F.collect_list("node").alias("some")))
+        # Each partition of tiles reads all of `some`, a number for each component of a tile; vectors are not dealt out for it.
+        # A row is at most TILE numbers, and the product spills what is more than memory holds.
+        some = some.coalesce(1).withColumnRenamed("tile", "of").hint("shuffle_replicate_nl")
+        met = tiles.join(some, F.col("tile") == F.col("of"))
+        n = met.select("labels", "some").mapInArrow(counted, "n long").agg(F.sum("n")).first()[0] or 0
+        # Where they are half of the vectors, the tiles themselves are what all meet, instead of a copy of most of them.
+        apart = 2 * n >= tiles.agg(F.sum(F.octet_length("labels") / 8)).first()[0]
+        rest = tiles if apart else _kept(met.select("m", "labels", "some").mapInArrow(outside, "m binary, labels binary"))
         roots = components(own.select("node"), links.union(joined(tiles, rest)))
 
     def rows(batches):

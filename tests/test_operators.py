@@ -155,3 +155,44 @@ def test_prototype_pick_writes_no_links(spark, tmp_path, monkeypatch):
     spark.range(600).selectExpr("id AS vec_id", "array(float(1 + id % 2), float(2)) AS embedding", "0 AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = [tuple(r) for r in catalog.prototype_pick(spark, str(tmp_path)).collect()]
     assert got == [(0, 600, 1)] and max(x.count() for x in written) < 100
+
+
+def test_similar_components_neither_shuffle_nor_copy_the_vectors(spark, monkeypatch):
+    import numpy as np
+
+    from lumora.operators import recall
+
+    plans, written, real = [], [], graph._kept
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        written.append(real(df))
+        return written[-1]
+
+    monkeypatch.setattr(graph, "_kept", kept)
+    monkeypatch.setattr(recall, "TILE", 17)
+
+    def run(rows):
+        plans.clear(), written.clear()
+        df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(rows)], "asset_id long, v array<double>").repartition(3)
+        return dict(graph.similar_components(df, 0.5).collect()), [x for x in written if "m" in x.columns]
+
+    eye = np.eye(60)
+    # 50 equal vectors and ten that stand alone: only these are written again, and no tile is dealt out by its number.
+    labels, held = run(np.concatenate([eye[:1].repeat(50, 0), eye[50:]]))
+    assert labels == {k: 0 if k < 50 else k for k in range(60)} and len(held) == 2
+    assert sum(len(r.labels) // 8 for r in held[1].collect()) == 10
+    (plan,) = [p for p in plans if "outside(" in p]
+    assert "Exchange" not in plan and "CartesianProduct" in plan
+    # All stand alone: the tiles are not copied.
+    labels, held = run(eye)
+    assert labels == {k: k for k in range(60)} and len(held) == 1
+
+
+def test_components_write_no_nodes_without_edges(spark, monkeypatch):
+    written, real = [], graph._kept
+    monkeypatch.setattr(graph, "_kept", lambda df: written.append(real(df)) or written[-1])
+    edges = spark.createDataFrame([(3, 7), (7, 9)], "a long, b long")
+    got = dict(graph.components(spark.range(200).toDF("node"), edges).collect())
+    assert got == {k: 3 if k in (3, 7, 9) else k for k in range(200)}
+    assert max(x.count() for x in written) < 10
