@@ -25,7 +25,9 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 #: Texts of these characters only need no Unicode normalisation and have a stable letter classification.
 PLAIN = regex.compile(r"[\x00-\x1B\x20-ɏ‐-‧]*+\Z")
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
-CHUNK, CACHE_WORDS, CACHE_JOINS, NEVER = 10_000, 300_000, 200_000, float("inf")
+CACHE_WORDS, KEPT_WORDS, CACHE_JOINS, NEVER = 150_000, 400_000, 400_000, float("inf")
+#: Longer words are filled from the left, so that no recursion follows their length.
+DEEP = 200
 #: Marks that are no letters, digits or apostrophes; what stands before them in a run is split alone.
 MARKS = ".,;:!?#$%&*+-/<=>@^_|~()[]{}\"`\\"
 END = "</w>"
@@ -68,6 +70,8 @@ class WordBpe:
         self.joins: dict[tuple[int, int], bool] = {}
         self.built: dict[int, tuple | None] = {}
         self.runs: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.most = CACHE_WORDS
 
     @staticmethod
     def _sizes(table: dict[str, int]) -> dict[str, list[int]]:
@@ -128,56 +132,55 @@ class WordBpe:
         return known
 
     def encode_words(self, words: Iterable[str]) -> dict[str, str]:
-        """Each word's ids, joined by spaces. Words are inserted in order, chunk by chunk, so that a chunk shares prefixes."""
-        out, words = {}, sorted(words)
-        for k in range(0, len(words), CHUNK):
-            trie: dict = {}
-            for word in words[k : k + CHUNK]:
-                node = trie
-                for c in word[:-1]:
-                    node = node.setdefault(c, {})
-                node.setdefault("", set()).add(word)
-            self._walk(trie, out)
-        return out
-
-    def _walk(self, trie: dict, out: dict[str, str]) -> None:
-        """Goes depth-first through the trie. tokens[d] and sizes[d] are the last token of the first d characters and its
-        length; a node needs only these of its ancestors."""
+        """Each word's ids, joined by spaces. In ascending order words go depth-first through their trie: tokens[d] and sizes[d]
+        are the last token of the first d characters and its length, kept as far as the next word shares them. A state is
+        found when a token behind it asks for it, so of a node's ancestors only those where tokens may end are visited."""
         inner, final, joins, stands = self.inner, self.final, self.joins, self.stands
-        (inner_sizes, final_sizes), text = self.sizes, self.text
-        tokens, sizes, stack = [-1], [0], [(trie, "")]
-        while stack:
-            node, prefix = stack.pop()
-            n = len(prefix)
-            if n:
-                del tokens[n:], sizes[n:]
-                for size in inner_sizes.get(prefix[-3:], SHORT):
-                    if size <= n and (t := inner.get(prefix[n - size :])) is not None:
-                        key = tokens[n - size], t
-                        if joins[key] if key in joins else stands(*key):
-                            break
-                else:
-                    raise ValueError(f"no token ends {prefix!r}")
-                tokens.append(t)
-                sizes.append(size)
-            for word in node.get("", ()):
-                at = len(word)
-                for size in final_sizes.get(word[-3:], SHORT):
-                    if size <= at and (t := final.get(word[at - size :])) is not None:
-                        key = tokens[at - size], t
-                        if joins[key] if key in joins else stands(*key):
-                            break
-                else:
-                    raise ValueError(f"no token ends {word!r}")
-                ids, at = [text[t]], at - size
-                while at:
-                    ids.append(text[tokens[at]])
-                    at -= sizes[at]
-                ids.reverse()
-                out[word] = " ".join(ids)
-            for c, child in node.items():
-                if c:
-                    stack.append((child, prefix + c))
+        (inner_sizes, final_sizes), text, out = self.sizes, self.text, {}
+        tokens, sizes, path, word = [-1], [0], "", ""
+
+        def last(n: int) -> int:
+            for size in inner_sizes.get(word[n - 3 : n], SHORT) if n > 2 else SHORT:
+                at = n - size
+                if at >= 0 and (t := inner.get(word[at:n])) is not None:
+                    before = tokens[at]
+                    key = last(at) if before is None else before, t
+                    if joins[key] if key in joins else stands(*key):
+                        tokens[n], sizes[n] = t, size
+                        return t
+            raise ValueError(f"no token ends {word[:n]!r}")
+
+        for word in sorted(words):
+            n, same = len(word), 0
+            for a, b in zip(path, word):
+                if a != b:
+                    break
+                same += 1
+            # The last character of the word before was no inner one.
+            del tokens[same + 1 :], sizes[same + 1 :]
+            tokens += [None] * (n - same)
+            sizes += [0] * (n - same)
+            path = word
+            if n > DEEP:
+                for d in range(1, n):
+                    if tokens[d] is None:
+                        last(d)
+            for size in final_sizes.get(word[-3:], SHORT):
+                at = n - size
+                if at >= 0 and (t := final.get(word[at:])) is not None:
+                    before = tokens[at]
+                    key = last(at) if before is None else before, t
+                    if joins[key] if key in joins else stands(*key):
+                        break
+            else:
+                raise ValueError(f"no token ends {word!r}")
+            ids = [text[t]]
+            while at:
+                ids.append(text[tokens[at]])
+                at -= sizes[at]
+            ids.reverse()
+            out[word] = " ".join(ids)
+        return out
 
     def split(self, run: str) -> list[str]:
         """The words of a lower-case run of plain characters without white space, as keys of `runs`."""
@@ -197,15 +200,34 @@ class WordBpe:
         return [" " + "".join(map(self.alphabet.__getitem__, w)) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def learn(self, runs: set[str]) -> None:
-        """Adds the ids of new runs. A full cache keeps only what these texts use, so its size is bounded."""
-        if len(self.runs) > CACHE_WORDS:
-            self.runs = {r: self.runs[r] for r in runs if r in self.runs}
-        split = {r: [r] if r[0] == " " else self.split(r) for r in runs if r not in self.runs}
-        new = {w: w[1:] if w[0] == " " else w for ws in split.values() for w in ws if w not in self.runs}
-        coded = self.encode_words(set(new.values()))
-        self.runs.update((key, coded[w]) for key, w in new.items())
-        known = self.runs
-        self.runs.update([(r, " ".join([known[w] for w in ws])) for r, ws in split.items() if ws[0] != r])
+        """Adds the ids of new runs. A full cache becomes the older one, from which runs come back as they are met, so the
+        size of both is bounded and frequent runs stay."""
+        if len(self.runs) > self.most:
+            self.runs, self.older = {}, self.runs
+            new = runs
+        else:
+            new = runs.difference(self.runs)
+        known, older, split, words, marked = self.runs, self.older, {}, {}, []
+        for r in new:
+            if r in older:
+                known[r] = older[r]
+            elif r[0] == " ":
+                words[r] = r[1:]
+            elif (word := r.rstrip(MARKS)).isalpha():
+                words[word] = word if word.isascii() else word.encode().decode("latin-1")
+                if len(word) < len(r):
+                    marks = r[len(word) :]
+                    words[marks] = marks
+                    marked.append((r, word, marks))
+            else:
+                split[r] = ws = self.split(r)
+                words.update([(w, w[1:] if w[0] == " " else w) for w in ws])
+        for w in words.keys() & known.keys():
+            del words[w]
+        coded = self.encode_words(set(words.values()))
+        known.update([(key, coded[w]) for key, w in words.items()])
+        known.update([(r, f"{known[word]} {known[marks]}") for r, word, marks in marked])
+        known.update([(r, " ".join([known[w] for w in ws])) for r, ws in split.items()])
 
     def encode(self, texts: list[str]) -> list[str]:
         """The ids of each text in decimal, joined by spaces. Strings of special tokens give their ids."""
@@ -231,7 +253,7 @@ _LOADED: dict[str, WordBpe] = {}
 
 
 def tokenizer(path: str) -> WordBpe:
-    """One for each worker process and file; its word cache is bounded by CACHE_WORDS and a batch."""
+    """One for each worker process and file; its word caches are bounded by twice `most` and a batch."""
     if path not in _LOADED:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _LOADED[path] = WordBpe(path)
@@ -257,8 +279,9 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encode_decode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """Encodes and decodes every whole text.
+def encode_decode(docs: DataFrame, path: str, with_ids: bool = False, stays: bool = False) -> DataFrame:
+    """Encodes and decodes every whole text. With `stays` a worker process keeps the tokenizer for its next task, with up to
+    twice KEPT_WORDS words.
 
     One row for each row of `docs`: doc_id, n_tokens, the SHA-256 of the decimal ids joined by spaces and of the decoded
     text; with `with_ids` also both as `ids` and `decoded`. Null texts count as empty: no tokens. Other columns are left
@@ -268,6 +291,7 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFra
 
     def run(batches):
         bpe = tokenizer(path)
+        bpe.most = KEPT_WORDS if stays else CACHE_WORDS
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for rows in pieces(texts):
@@ -283,15 +307,16 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFra
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(cols)])
         # A worker process goes on to other stages, which need the memory.
         del bpe
-        _LOADED.clear()
-        released()
+        if not stays:
+            _LOADED.clear()
+            released()
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}"
     return id_and_text(docs).mapInArrow(run, schema)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_decode(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+    return encode_decode(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), stays=True)
 
 
 QUERIES = {"op5_bpe": op5_bpe}

@@ -372,3 +372,29 @@ def test_null_and_repeated_ids(spark):
     # A null id counts as greater than all others, so it loses what document 1 has; equal ids lose nothing to each other.
     assert sorted((r.doc_id or 0, r.n_removed) for r in got["words"]) == [(0, 0), (0, 0), (0, 80), (1, 0), (1, 0), (1, 0), (2, 0), (2, 0)]
     assert {r.component_id for r in got["join"] if r.n_shingles > 10} == {1}
+
+
+def test_bpe_states_are_found_only_where_asked_for():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return dict.get(self, *a)
+
+    coder, rng = bpe.WordBpe(bpe.vocabulary("word_bpe_49k.json")), random.Random(4)
+    coder.inner = Counted(coder.inner)
+    parts = ["the", "in", "er", "an", "qu", "tion", "ea", "st", "w", "x", "bl", "ou"]
+    words = {"".join(rng.choices(parts, k=rng.randint(1, 6))) for _ in range(2000)} | {"thea" * 80}
+    for word, ids in coder.encode_words(words).items():
+        assert ids == " ".join(map(str, coder.library.encode(word, add_special_tokens=False).ids))
+    assert Counted.asked < sum(map(len, words))
+
+
+def test_bpe_cache_is_bounded_and_keeps_what_is_met_again():
+    coder = bpe.WordBpe(bpe.vocabulary("word_bpe_49k.json"))
+    coder.most = 40
+    for k in range(30):
+        text = "The common words, again; don't " + " ".join(f"w{k}x{j}é" for j in range(20))
+        assert coder.encode([text]) == [" ".join(map(str, coder.library.encode(text, add_special_tokens=False).ids))]
+    assert len(coder.runs) + len(coder.older) < 2 * (40 + 150) and "again;" in coder.runs
