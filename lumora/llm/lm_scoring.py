@@ -24,7 +24,9 @@ END = b""
 FREQUENT, SINGLE, ENDINGS = 1 << 17, 64, 64
 CLASSES = SINGLE + ENDINGS
 HIDDEN, WINDOW, TRAIN_ROWS, PASSES, RATE = 16, 16, 512, 2, 0.01
-DISTINCT_AT_ONCE, AT_ONCE = 100_000, 4_000_000
+#: States whose class scores are held at once; they fit the cache of a core.
+BLOCK = 1024
+DISTINCT_AT_ONCE, AT_ONCE, SCORED_AT_ONCE = 100_000, 4_000_000, 8_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -55,90 +57,121 @@ class Gru:
         self.p = {k: self.flat[a:b].reshape(s) for (k, s), a, b in zip(self.SHAPES.items(), cuts, cuts[1:])}
         self.m, self.v, self.t = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
 
-    def step(self, c: np.ndarray, h: np.ndarray):
-        x, g = self.p["X"][c], h @ self.p["U"]
-        zr = 1 / (1 + np.exp(-(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])))
-        z, r, gn = zr[:, :HIDDEN], zr[:, HIDDEN:], g[:, 2 * HIDDEN :]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * gn)
-        return n + z * (h - n), (z, r, n, gn)
-
-    def scores(self, h: np.ndarray) -> np.ndarray:
-        out = h @ self.p["V"] + self.p["b"]
-        out -= out.max(1, keepdims=True)
+    def run(self, x: np.ndarray, h: np.ndarray, kept: list | None = None) -> np.ndarray:
+        """The states after each step, time first, from the gate inputs `x` of their classes; `kept` takes the gates."""
+        U, out = self.p["U"], np.empty((len(x), len(h), HIDDEN), np.float32)
+        for t in range(len(x)):
+            g = h @ U
+            zr = x[t, :, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            z, gn = zr[:, :HIDDEN], g[:, 2 * HIDDEN :]
+            n = zr[:, HIDDEN:] * gn
+            n += x[t, :, 2 * HIDDEN :]
+            np.tanh(n, out=n)
+            if kept is not None:
+                kept.append((zr, n, gn))
+            h = np.subtract(h, n, out=out[t])
+            h *= z
+            h += n
         return out
 
-    def window(self, prev: np.ndarray, target: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, float]:
-        """One truncated window, time first: carries the state over its end and the gradient not. Updates by Adam."""
-        T, seen, loss = len(prev), [], 0.0
+    def exps(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The exponentials of the class scores of each state and their sums. States lie between -1 and 1, so where no score
+        can be large none is taken off before; else they are doubles, so that small ones do not vanish."""
+        out = h @ self.p["V"]
+        out += self.p["b"]
+        if not float((np.abs(self.p["V"]).sum(0) + np.abs(self.p["b"])).max()) < 60:
+            out = out.astype(np.float64)
+            out -= out.max(1, keepdims=True)
+        np.exp(out, out=out)
+        return out, out @ np.ones(CLASSES, out.dtype)
+
+    def window(self, prev: np.ndarray, target: np.ndarray, live: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """One truncated window, time first: carries the state over its end and the gradient not. Updates by Adam. Scores and
+        the gradients of what is not recurrent are taken of BLOCK states at once, whichever step they belong to."""
+        kept: list = []
+        states = self.run(self.p["X"][prev], h, kept)
+        olds = np.concatenate([h[None], states[:-1]]).reshape(-1, HIDDEN)
+        flat_h, flat_target = states.reshape(-1, HIDDEN), target.ravel()
+        share = live.ravel() / np.float32(max(1.0, float(live.sum())))
         g = {k: np.zeros(s, np.float32) for k, s in self.SHAPES.items()}
-        total = max(1.0, float(live.sum()))
-        for t in range(T):
-            new, gates = self.step(prev[t], h)
-            s = self.scores(new)
-            e = np.exp(s)
-            d = e / e.sum(1, keepdims=True)
-            rows = np.arange(len(d))
-            loss -= float((np.log(np.maximum(d[rows, target[t]], 1e-30)) * live[t]).sum())
-            d[rows, target[t]] -= 1
-            d *= (live[t] / total)[:, None]
-            seen.append((h, new, gates, d))
-            h = new
-        dh, das = np.zeros_like(h), np.empty((T, len(h), 3 * HIDDEN), np.float32)
-        for t in range(T - 1, -1, -1):
-            old, new, (z, r, n, gn), d = seen[t]
-            g["V"] += new.T @ d
-            g["b"] += d.sum(0)
-            dh = dh + d @ self.p["V"].T
-            dn = dh * (1 - z) * (1 - n * n)
-            da = np.concatenate([dh * (old - n) * z * (1 - z), dn * gn * r * (1 - r), dn], 1)
-            dg = da.copy()
-            dg[:, 2 * HIDDEN :] *= r
-            g["U"] += old.T @ dg
-            das[t] = da
-            dh = dh * z + dg @ self.p["U"].T
-        order = np.argsort(prev, axis=None, kind="stable")
-        classes, starts = np.unique(prev.ravel()[order], return_index=True)
-        g["X"][classes] = np.add.reduceat(das.reshape(-1, 3 * HIDDEN)[order], starts)
+        dhs = np.empty_like(flat_h)
+        for k in range(0, len(flat_h), BLOCK):
+            d, total = self.exps(flat_h[k : k + BLOCK])
+            w = share[k : k + BLOCK]
+            d *= (w / total)[:, None]
+            d[np.arange(len(d)), flat_target[k : k + BLOCK]] -= w
+            g["V"] += flat_h[k : k + BLOCK].T @ d
+            g["b"] += np.ones(len(d), np.float32) @ d
+            dhs[k : k + BLOCK] = d @ self.p["V"].T
+        dhs, back, U = dhs.reshape(states.shape), np.zeros_like(h), self.p["U"].T
+        das, dgs = (np.empty((len(prev), len(h), 3 * HIDDEN), np.float32) for _ in range(2))
+        for t in range(len(prev) - 1, -1, -1):
+            zr, n, gn = kept[t]
+            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
+            old = states[t - 1] if t else h
+            dh = dhs[t] + back
+            keep = dh * z
+            dn = (dh - keep) * (1 - n * n)
+            da, dg = das[t], dgs[t]
+            da[:, :HIDDEN] = keep * (old - n) * (1 - z)
+            dr = dn * r
+            da[:, HIDDEN : 2 * HIDDEN] = dr * gn * (1 - r)
+            da[:, 2 * HIDDEN :] = dn
+            dg[:, : 2 * HIDDEN] = da[:, : 2 * HIDDEN]
+            dg[:, 2 * HIDDEN :] = dr
+            back = dg @ U
+            back += keep
+        g["U"] = olds.T @ dgs.reshape(-1, 3 * HIDDEN)
+        # Small numbers are sorted by their digits.
+        order = np.argsort(prev.ravel().astype(np.uint16), kind="stable")
+        times = np.bincount(prev.ravel(), minlength=CLASSES + 1)
+        classes = np.flatnonzero(times)
+        g["X"][classes] = np.add.reduceat(das.reshape(-1, 3 * HIDDEN)[order], (np.cumsum(times) - times)[classes])
         flat = np.concatenate([g[k].ravel() for k in self.SHAPES])
         flat *= min(1.0, 1.0 / (float(np.sqrt((flat**2).sum())) + 1e-9))
         self.t += 1
         self.m += 0.1 * (flat - self.m)
         self.v += 0.01 * (flat * flat - self.v)
         self.flat -= RATE * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
-        return h, loss
+        return states[-1]
+
+    def windows(self, docs: list[np.ndarray]):
+        """(rows still going, their classes, which of these are before the end) of each window over documents side by side, the
+        longest first."""
+        size = np.array([len(d) for d in docs])
+        flat, at = np.concatenate(docs), np.cumsum(size) - size
+        for start in range(0, int(size[0]), WINDOW):
+            n = int((size > start).sum())
+            t = start + np.arange(min(WINDOW, int(size[0]) - start))[:, None]
+            yield n, flat[np.minimum(at[None, :n] + t, len(flat) - 1)], (t < size[None, :n]).astype(np.float32)
 
     def train(self, docs: list[np.ndarray]) -> int:
         """Goes once through whole documents, TRAIN_ROWS side by side, the longest first."""
         docs = sorted(docs, key=len, reverse=True)
         for k in range(0, len(docs), TRAIN_ROWS):
             some = docs[k : k + TRAIN_ROWS]
-            size = np.array([len(d) for d in some])
-            flat, at = np.concatenate(some), np.cumsum(size) - size
             h, last = np.zeros((len(some), HIDDEN), np.float32), np.full(len(some), CLASSES)
-            for start in range(0, int(size[0]), WINDOW):
-                n = int((size > start).sum())
-                t = start + np.arange(min(WINDOW, int(size[0]) - start))[:, None]
-                live = (t < size[None, :n]).astype(np.float32)
-                target = flat[np.minimum(at[None, :n] + t, len(flat) - 1)]
-                prev = np.concatenate([last[None, :n], target[:-1]])
-                h, _ = self.window(prev, target, live, h[:n])
+            for n, target, live in self.windows(some):
+                h = self.window(np.concatenate([last[None, :n], target[:-1]]), target, live, h[:n])
                 last = target[-1]
         return int(sum(map(len, docs)))
 
     def log10(self, docs: list[np.ndarray]) -> np.ndarray:
         """The log10 probability of each document's classes, the state carried from its start to its end."""
         order = sorted(range(len(docs)), key=lambda k: -len(docs[k]))
-        size = np.array([len(docs[k]) for k in order], np.int64)
-        flat, at = np.concatenate([docs[k] for k in order]), np.cumsum(size) - size
-        h, prev, out = np.zeros((len(docs), HIDDEN), np.float32), np.full(len(docs), CLASSES), np.zeros(len(docs))
-        n = len(docs)
-        for t in range(int(size[0])):
-            while size[n - 1] <= t:
-                n -= 1
-            h, _ = self.step(prev[:n], h[:n])
-            s = self.scores(h)
-            prev = flat[at[:n] + t]
-            out[:n] += (s[np.arange(n), prev] - np.log(np.exp(s).sum(1))).astype(np.float64)
+        h, last, out = np.zeros((len(docs), HIDDEN), np.float32), np.full(len(docs), CLASSES), np.zeros(len(docs))
+        for n, target, live in self.windows([docs[k] for k in order]):
+            states = self.run(self.p["X"][np.concatenate([last[None, :n], target[:-1]])], h[:n])
+            flat, classes, logs = states.reshape(-1, HIDDEN), target.ravel(), np.empty(target.size)
+            for k in range(0, len(flat), BLOCK):
+                e, total = self.exps(flat[k : k + BLOCK])
+                logs[k : k + BLOCK] = np.log(np.maximum(e[np.arange(len(e)), classes[k : k + BLOCK]], np.finfo(e.dtype).tiny) / total)
+            out[:n] += (logs.reshape(target.shape) * live).sum(0)
+            h, last = states[-1], target[-1]
         result = np.zeros(len(docs))
         result[order] = out / np.log(10)
         return result
@@ -232,22 +265,36 @@ def score_documents(docs: DataFrame, passes: int = PASSES) -> DataFrame:
             params = np.zeros_like(params)
             params[[r.k for r in mean]] = [r.x for r in mean]
 
+    def pooled(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= SCORED_AT_ONCE:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks()
+
     def score(batches):
         index, log_count, class_of, log_mass = shared.value
         model, n = Gru(params), TaskContext.get().partitionId() << 33
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for some in pieces(texts, AT_ONCE):
+        for table in pooled(batches):
+            texts = table.column(1).to_pylist()
+            for some in pieces(texts, SCORED_AT_ONCE):
                 found = _indexed([texts[k] for k in some], index)
                 classes = [class_of[ids] for ids, _ in found]
                 fit = model.log10(classes)
+                ends = np.cumsum([0, *(len(rare) for _, rare in found)])
+                words = pa.array([w for _, rare in found for w in rare], pa.binary())
+                times = pa.array([k for _, rare in found for k in rare.values()], pa.int64())
                 cols = [
                     pa.array(range(n, n + len(some)), pa.int64()),
-                    *(batch.column(c).take(pa.array(some)) for c in (0, 2)),
+                    *(table.column(c).take(pa.array(some)).combine_chunks() for c in (0, 2)),
                     pa.array([len(ids) for ids, _ in found], pa.int64()),
                     pa.array([float(log_count[ids[ids < FREQUENT]].sum()) for ids, _ in found]),
                     pa.array([float(x - log_mass[c].sum()) for x, c in zip(fit, classes)]),
-                    pa.array([[{"word": w, "n": k} for w, k in rare.items()] for _, rare in found], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([words, times], ["word", "n"])),
                 ]
                 n += len(some)
                 yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "held_out", "n_tokens", "common", "fit", "rare"])

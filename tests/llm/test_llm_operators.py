@@ -398,3 +398,35 @@ def test_bpe_cache_is_bounded_and_keeps_what_is_met_again():
         text = "The common words, again; don't " + " ".join(f"w{k}x{j}é" for j in range(20))
         assert coder.encode([text]) == [" ".join(map(str, coder.library.encode(text, add_special_tokens=False).ids))]
     assert len(coder.runs) + len(coder.older) < 2 * (40 + 150) and "again;" in coder.runs
+
+
+@pytest.mark.parametrize("scale", [1, 100])
+def test_lm_scores_many_states_at_once_and_as_step_by_step(monkeypatch, scale):
+    rng, model = np.random.default_rng(3), lm_scoring.Gru()
+    texts = [rng.integers(0, lm_scoring.CLASSES, n) for n in (1, 40, 16, 17, 333)]
+    calls, real = [], lm_scoring.Gru.exps
+    monkeypatch.setattr(lm_scoring.Gru, "exps", lambda self, h: calls.append(len(h)) or real(self, h))
+    model.train(texts)
+    model.p["V"] *= scale
+    got = model.log10(texts)
+    # 333 steps for each of the two, in windows of 16.
+    assert len(calls) <= 2 * -(-333 // lm_scoring.WINDOW) and max(calls) > len(texts)
+    p, size = {k: x.astype(float) for k, x in model.p.items()}, lm_scoring.HIDDEN
+    for text, score in zip(texts, got):
+        h, prev, want = np.zeros(size), lm_scoring.CLASSES, 0.0
+        for c in text:
+            x, g = p["X"][prev], h @ p["U"]
+            z, r = (1 / (1 + np.exp(-(x[k : k + size] + g[k : k + size]))) for k in (0, size))
+            n = np.tanh(x[2 * size :] + r * g[2 * size :])
+            h, prev = n + z * (h - n), c
+            s = h @ p["V"] + p["b"]
+            want += s[c] - s.max() - np.log(np.exp(s - s.max()).sum())
+        assert score == pytest.approx(want / np.log(10), rel=1e-4)
+
+
+def test_lm_gradients_lower_the_loss():
+    model, text = lm_scoring.Gru(), np.tile(np.arange(5), 200)
+    before = model.log10([text])[0]
+    for _ in range(4):
+        model.train([text] * 8)
+    assert model.log10([text])[0] > 0.1 * before
