@@ -29,7 +29,7 @@ from lumora.llm.common import blocks_for, documents, id_and_text, shared_dir, wr
 #: The pattern by which byte-level vocabularies split a text before their merges, with White_Space written out.
 TOKENS = rf"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"""
 SEQUENCE, ROWS, END_ID = 1024, 64, 2
-BLOCK_BYTES, CACHE_RUNS, AT_ONCE = 16 << 20, 700_000, 1_000
+BLOCK_BYTES, CACHE_RUNS, AT_ONCE = 16 << 20, 500_000, 1_000
 
 _LOADED: dict[str, "ByteBpe"] = {}
 
@@ -50,6 +50,7 @@ class ByteBpe:
         self.split = regex.compile(TOKENS).findall
         self.wide = re.compile(f"[{SPACE}][{SPACE}]").search
         self.runs: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -74,14 +75,20 @@ class ByteBpe:
 
     def _learn(self, missing: set[str]) -> None:
         """Adds the ids of runs behind a space: of letters, of letters and then MARKS, and of any other kind."""
-        runs, letters, marked, odd = self.runs, set(), [], []
+        runs, older, letters, marked, odd = self.runs, self.older, set(), [], []
         for r in missing:
+            if r in older:
+                runs[r] = older[r]
+                continue
             word = r.rstrip(MARKS)
             if not word.isalpha():
                 odd.append(r)
                 continue
             if word not in runs:
-                letters.add(word)
+                if word in older:
+                    runs[word] = older[word]
+                else:
+                    letters.add(word)
             if len(word) < len(r):
                 marked.append((r, word, r[len(word) :]))
         runs.update(zip(letters, self._raw([" " + w for w in letters])))
@@ -98,7 +105,7 @@ class ByteBpe:
         """The ids of each text as little-endian unsigned 32-bit integers.
 
         A token with a space before it starts at that space, so a text without adjacent white space is cut at its spaces
-        into runs that are looked up whole; a full cache keeps only what these texts use. Texts with special tokens or
+        into runs that are looked up whole; a full cache becomes the older one, from which runs come back as they are met. Texts with special tokens or
         characters beyond the plain ones go through the library whole, the others by pre-tokens, each once a call.
         """
         out: list[bytes | None] = [None] * len(texts)
@@ -112,7 +119,7 @@ class ByteBpe:
                 runs[k] = text.split(" ")
         used = set().union(*runs.values())
         if len(self.runs) > CACHE_RUNS:
-            self.runs = {r: self.runs[r] for r in used if r in self.runs}
+            self.runs, self.older = {}, self.runs
         self._learn(used.difference(self.runs))
         heads = {k: self.split(r[0]) for k, r in runs.items()}
         ids = self._by_token(set().union(*heads.values(), *tokens.values()))

@@ -430,3 +430,14 @@ def test_lm_gradients_lower_the_loss():
     for _ in range(4):
         model.train([text] * 8)
     assert model.log10([text])[0] > 0.1 * before
+
+
+def test_token_file_runs_stay_through_a_full_cache(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_RUNS", 50)
+    coder = token_files.ByteBpe(bpe.vocabulary("byte_bpe_50k.json"))
+    sent, real = [], coder._raw
+    monkeypatch.setattr(coder, "_raw", lambda tokens: sent.extend(tokens) or real(tokens))
+    texts = ["x" + "".join(f" common{c}" for c in "abcdefgh"), "x" + "".join(f" filler{a}{b}" for a in "abcdefgh" for b in "abcdefgh"), "x other"]
+    for text in [texts[0], texts[1], texts[2], texts[0]]:
+        assert coder.encode([text]) == [np.array(coder.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert sum(t.startswith(" common") for t in sent) == 8 and len(coder.runs) < 50
